@@ -62,7 +62,7 @@ def train(labelled: DataFrame, *, width: int = 2048, epochs: int = 24, rate: flo
     if rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"the labelled table has more than {max_rows} rows")
     # Dense rows, in an order that only the urls decide.
-    unit = 1 / F.sqrt(F.size("s").cast("double"))
+    unit = 1 / F.sqrt(F.greatest(F.size("s"), F.lit(1)).cast("double"))
     x = F.concat(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when(F.array_contains(F.col("s"), i), unit).otherwise(F.lit(0.0))), F.array(F.lit(1.0)))
     dense = rows.select(F.xxhash64("url").alias("h"), "url", "label", F.col("label").cast("double").alias("y"), x.alias("x"))
     table = dense.agg(F.sort_array(F.collect_list(F.struct("h", "url", "y", "x"))).alias("rows"))
@@ -81,7 +81,7 @@ def block_score(host: Column, path: Column, weights: Sequence[float]) -> Column:
     # One text literal, folded to an array once: a literal for each weight would bloat the plan.
     w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     own = slots(host, path, width)
-    return _sigmoid(F.lit(float(weights[-1])) + F.aggregate(own, F.lit(0.0), lambda s, i: s + F.get(w, i - 1)) / F.sqrt(F.size(own).cast("double")))
+    return _sigmoid(F.lit(float(weights[-1])) + F.aggregate(own, F.lit(0.0), lambda s, i: s + F.get(w, i - 1)) / F.sqrt(F.greatest(F.size(own), F.lit(1)).cast("double")))
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule], *, threshold: float = 0.5, **options) -> DataFrame:

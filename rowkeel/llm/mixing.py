@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from .common import save, word_count
 
 Source = str | None
+_END = object()  # None is a source
 
 
 def fair_targets(sizes: Mapping[Source, int], weights: Mapping[Source, float], cap: float = 3.0) -> dict[Source, float]:
@@ -90,8 +91,8 @@ def route(capacity: Mapping[tuple[Source, ...], int], quotas: Mapping[Source, in
                             break
                         path = [("p", p)]
                         continue
-                    nxt = next(arcs[kind, x], None)
-                    if nxt is None:
+                    nxt = next(arcs[kind, x], _END)
+                    if nxt is _END:
                         path.pop()
                         continue
                     step = ("s", nxt) if kind == "p" else ("p", nxt)

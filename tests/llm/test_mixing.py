@@ -1,0 +1,92 @@
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rowkeel.llm import mixing
+
+
+def test_fair_targets():
+    got = mixing.fair_targets({"a": 10, "b": 1000, "c": 100}, {"a": 1, "b": 2, "c": 3})
+    # 1110 words: a may have 30, c 300; what is over goes to b.
+    assert got == pytest.approx({"a": 30, "c": 300, "b": 780})
+    assert mixing.fair_targets({}, {}) == {}
+    assert mixing.cycling_weights(["b", None, "a", "é"]) == {"a": 1, "b": 2, "é": 3, None: 1}
+
+
+def _best(capacity, quotas, repeats):
+    """Largest flow, then least cost, by trying all integer flows."""
+    arcs = [(p, s) for p in capacity for s in p if s in quotas]
+    best = None
+    for amounts in itertools.product(*[range(min(capacity[p] * repeats, quotas[s]) + 1) for p, s in arcs]):
+        used = {p: sum(a for a, (q, _) in zip(amounts, arcs) if q == p) for p in capacity}
+        got = {s: sum(a for a, (_, t) in zip(amounts, arcs) if t == s) for s in quotas}
+        if any(used[p] > capacity[p] * repeats for p in capacity) or any(got[s] > quotas[s] for s in quotas):
+            continue
+        cost = sum(max(0, min(capacity[p], used[p] - r * capacity[p])) * r for p in capacity for r in range(repeats))
+        key = (-sum(amounts), cost)
+        best = min(best, key) if best else key
+    return best
+
+
+def test_route_is_cheapest():
+    rng = random.Random(4)
+    for _ in range(40):
+        sources = ["a", "b"]
+        patterns = [p for p in (("a",), ("b",), ("a", "b")) if rng.random() < 0.8]
+        capacity, quotas = {p: rng.randint(0, 3) for p in patterns}, {s: rng.randint(0, 6) for s in sources}
+        flow = mixing.route(capacity, quotas, 2)
+        used = {p: sum(to.values()) for p, to in flow.items()}
+        cost = sum(max(0, min(capacity[p], used[p] - r * capacity[p])) * r for p in capacity for r in range(2))
+        assert all(sum(f.get(s, 0) for f in flow.values()) <= quotas[s] for s in sources)
+        assert (-sum(used.values()), cost) == (_best(capacity, quotas, 2) or (0, 0))
+
+
+def _docs(spark, n=400, seed=3):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(i, "w " * rng.randint(0, 60), rng.choice(["a"] * 8 + ["b", "c", None])) for i in range(n)], "doc_id long, text string, source string")
+
+
+def test_mix(spark):
+    docs = _docs(spark)
+    got = mixing.mix_documents(docs, per_bucket=16).toPandas()
+    src = {r.doc_id: r.source for r in docs.collect()}
+    got["source"] = [src[i] or "none" for i in got.doc_id]
+    assert len(got) == 400 and (got.taken <= 3 * got["size"]).all() and (got.taken == got.repeats * got["size"]).all()
+    sizes = got.groupby("source")["size"].sum()
+    want = mixing.fair_targets(dict(sizes), {"a": 1, "b": 2, "c": 3, "none": 1})
+    for s, g in got.groupby("source"):
+        assert g.target.iloc[0] == pytest.approx(want[s]) and g.source_size.iloc[0] == sizes[s]
+        assert abs(g.taken.sum() - want[s]) <= 20
+    again = mixing.mix_documents(docs.repartition(5), per_bucket=16).toPandas()
+    assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
+
+
+def test_overlapping_sources(spark):
+    rows = [(i, 10, ["a"] if i < 10 else ["a", "b"]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>")
+    got = mixing.mix(docs, {"a": 100, "b": 100}).collect()
+    # Fresh text covers both quotas only if the shared documents serve b.
+    assert {r.repeats for r in got} == {1}
+    # Unknown sources, empty membership and a quota beyond all repeats.
+    docs = spark.createDataFrame([(1, 10, ["a"]), (2, 10, ["z"]), (3, 10, []), (4, 10, None)], docs.schema)
+    assert {r.doc_id: r.repeats for r in mixing.mix(docs, {"a": 1000}).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+
+
+def test_odd(spark, odd_docs, no_docs):
+    got = mixing.mix_documents(odd_docs).collect()
+    assert len(got) == odd_docs.count() and all(r.taken == 0 for r in got if r["size"] == 0)
+    assert mixing.mix_documents(no_docs).count() == 0
+    out = mixing.repeat_documents(odd_docs)
+    assert out.columns == odd_docs.columns and out.where("text is null or text = ''").count() == 0
+    assert mixing.repeat_documents(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_documents(odd_docs, max_patterns=1)
+
+
+def test_repeats_are_rows(spark):
+    docs = _docs(spark, 120, 5)
+    want = {r.doc_id: r.repeats for r in mixing.mix_documents(docs).collect() if r.repeats}
+    got = {r.doc_id: r["count"] for r in mixing.repeat_documents(docs).groupBy("doc_id").count().collect()}
+    assert got == want and docs.where(F.col("source").isNull()).count()

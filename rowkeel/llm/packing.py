@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import save
 
-_CACHE_CHUNKS, _CACHE_STEMS = 250_000, 450_000
+_CACHE_CHUNKS, _CACHE_STEMS = 120_000, 300_000
 _CACHED = 48  # longest entry kept, in characters
 #: ASCII punctuation but the apostrophe, which starts contractions, and the brackets of special tokens.
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"

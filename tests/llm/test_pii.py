@@ -1,0 +1,64 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rowkeel.llm import pii
+from rowkeel.llm.queries import op10_pii
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain(text):
+    out = {}
+    for kind, rx in PATTERNS.items():
+        out[kind] = []
+        for m in re.finditer(rx, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = [sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))]
+            if {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(digits) <= 19 and sum(double) % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]:
+                out[kind].append(m.span())
+    return out
+
+
+parts = st.sampled_from(list("0123456789.-+ ()@_%aé") + ["12", "255", "256", "1.2.3.4", "4111111111111111", "5500-0000-0000-0004", "a.b@c.d", "@x", "+1 (", ") 555-", "٣", "000.001.002.3"])
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(parts, max_size=30).map("".join))
+def test_base_kinds_equal_their_patterns(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in pii.BASE} == plain(text)
+
+
+def test_own_kinds():
+    text = "IBAN: DE89 3704 0044 0532 0130 00, account no. 12345678; https://bob:pw1@host/x ssn 123-45-6789. The account of 2020, mathssn 123456789"
+    found = pii.find(text)
+    assert [text[a:z] for a, z in found["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678", "123-45-6789"]
+    assert [text[a:z] for a, z in found["login"]] == ["bob:pw1"]
+    assert pii.find("")["account"] == []
+
+
+def test_long_texts_take_linear_time():
+    for t in ("a@" * 200_000, "1.2." * 200_000, "+1" * 200_000, "9" * 400_000, "1 -" * 200_000, "http://a:" * 50_000, "iban: " * 50_000):
+        assert {k: v for k, v in pii.find(t).items() if k in pii.BASE} == plain(t) if len(t) < 300_000 else pii.find(t)
+
+
+def test_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = op10_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(len(want[k]) for k in pii.BASE)
+        listed = ",".join(f"{k}:{a}:{z}" for k in pii.BASE for a, z in want[k])
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and r.spans.startswith(listed)
+
+
+def test_odd(spark, odd_docs, no_docs):
+    out = pii.detect(odd_docs)
+    assert len(set(out.columns)) == len(out.columns) and {r.spans for r in out.collect()} == {""}
+    assert pii.detect(no_docs).count() == 0
+    df = spark.createDataFrame([(1, "mail a@b.cd or 1.2.3.4"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(df, {"ip": "*"}).orderBy("doc_id").collect()] == ["mail <email> or *", None]

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
 Features are hashed one- and two-word n-grams of the lower-cased words, and of the words' shapes (letters of a
-kind become one sign), with counts scaled to unit length. Training reads a bounded sample of labelled
+kind become one sign), with counts scaled to unit length. A word right after itself is one n-gram for all words. Training reads a bounded sample of labelled
 rows in one task; the weights are one array of fixed size. A text's score is a sparse dot product.
 """
 
@@ -46,6 +46,7 @@ def slots(data: bytes, bits: int) -> np.ndarray:
         pairs.append(h)
     one = np.array(pairs, np.uint64).T
     two = (one[:, :-1] * _MIX) ^ (one[:, 1:] + _MIX)
+    two[0, one[0, :-1] == one[0, 1:]] = _MIX  # a word said twice is one n-gram, whatever the word
     all_ = np.concatenate([one.ravel(), (two * _MIX).ravel()])
     return (all_ * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 

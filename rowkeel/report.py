@@ -27,3 +27,8 @@ def cardinality_lines(df: DataFrame) -> Iterator[str]:
         mean = "nan" if r.avg_children is None else f"{r.avg_children:.1f}"
         low, high = ("nan" if x is None else x for x in (r.min_children, r.max_children))
         yield f"{r.parent} {r.declared} {r.child}: {r.n_parents} parents, children avg {mean}, min {low}, max {high}"
+
+
+def write_results(df: DataFrame, path: str, fmt: str = "json") -> None:
+    """Keep an audit's records as JSON lines, Parquet or any format that Spark writes; what is there is replaced."""
+    df.write.mode("overwrite").format(fmt).save(path)

@@ -146,3 +146,13 @@ def test_fk_property(spark, child, ref):
     own, target = {x for x in child if x is not None}, {x for x in ref if x is not None}
     n = len(own - target)
     assert fk(spark, child, ref) == [(len(own), n, "OK" if n == 0 else f"{n} orphans")]
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_results_are_kept(spark, tmp_path, fmt):
+    from rowkeel.report import write_results
+
+    t = TableCatalog({"c": frame(spark, [1, 5], "fk int"), "r": frame(spark, [1], "k int")})
+    write_results(ops.fk_check(t, [FkRule("X", "c", "fk", "r", "k")]), str(tmp_path / fmt), fmt)
+    (r,) = spark.read.format(fmt).load(str(tmp_path / fmt)).collect()
+    assert (r.refs, r.orphans, r.status) == (2, 1, "1 orphans")

@@ -132,7 +132,8 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27) ->
                     yield pa.RecordBatch.from_arrays([pa.array([rows[j][0] for j in hit], pa.int64()), pa.array([rows[j][1] for j in hit], pa.binary())], names=["key", "digest"])
 
     suspects = save(own.select("_key", raw(F.col("text")).alias("text")).mapInArrow(suspect, "key long, digest binary"))
-    repeated = suspects.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    # Written, so that the join below has shuffles of its own, of which Spark can split one that a single line fills.
+    repeated = save(suspects.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first"))
     drops = suspects.join(repeated, "digest").where("key != first").groupBy(F.col("key").alias("_key")).agg(F.collect_set("digest").alias("_drop"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")

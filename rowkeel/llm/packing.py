@@ -86,16 +86,15 @@ class WordTokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         cache = self.chunks
-        own = self._resolve({w for words in split for w in words if w not in cache})
+        found = [list(map(cache.get, words)) for words in split]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        own = self._resolve({words[i] for words, at in zip(split, holes) for i in at})
         if len(cache) < _CACHE_CHUNKS:
             cache.update((k, v) for k, v in own.items() if len(k) <= _CACHED)
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([cache[w] if w in cache else own[w] for w in words]))
-        return out
+        for ids, words, at in zip(found, split, holes):
+            for i in at:
+                ids[i] = own[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 _TOKENS: dict[str, WordTokens] = {}

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import TableCatalog
 from ..functions.keys import canonical_key, comparable
@@ -93,32 +94,43 @@ def fk_check(catalog: TableCatalog, rules: Iterable[FkRule]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Rules that share a job of fk_check_long: a bit each of a long, the highest one marks a referenced key.
+_RULES_A_JOB, _FOUND = 62, 1 << 62
+
+
 def fk_check_long(catalog: TableCatalog, rules: Iterable[FkRule]) -> DataFrame:
-    """The same records from one job: (target, key) of all children and references in canonical form, grouped once.
+    """The same records from one job for up to 62 rules: (target, key) of all children and references, grouped once.
 
-    A referenced column is read once however many rules point to it. Each key carries the rules whose
-    children have it, so one shuffle of distinct keys serves all rules.
+    Each row carries a bit for its rule, or for being a reference, and the bits of a key are or-ed, on
+    the way to the one shuffle already. A referenced column is read once however many rules point to it.
     """
     rules = list(rules)
     live = [(i, r) for i, r in enumerate(rules) if _columns(catalog, r)]
     if not live:
         raise _none(rules)
-    targets = {(r.ref_table, r.ref_column): n for n, r in enumerate(dict.fromkeys(FkRule("", "", "", x.ref_table, x.ref_column) for _, x in live))}
-    parts = [
-        distinct_keys(catalog.require(t), c, plain=False).select(F.lit(n).alias("target"), "key", F.lit(None).cast("int").alias("rule"))
-        for (t, c), n in targets.items()
-    ] + [
-        distinct_keys(catalog.require(r.child_table), r.child_column, plain=False).select(F.lit(targets[r.ref_table, r.ref_column]).alias("target"), "key", F.lit(i).alias("rule"))
-        for i, r in live
-    ]
-    # The distinct above leaves one row a key, so a group has at most one row for each rule, and one for the reference.
-    met = reduce(DataFrame.unionByName, parts).groupBy("target", "key").agg(F.collect_set("rule").alias("rules"), F.bool_or(F.col("rule").isNull()).alias("found"))
-    counts = met.select(F.explode("rules").alias("ordinal"), "found").groupBy("ordinal").agg(F.count(F.lit(1)).alias("refs"), F.count_if(~F.col("found")).alias("orphans"))
-    # Rules come as a VALUES list of their own, so that one without any key still has its row.
-    names = reduce(DataFrame.unionByName, [counts.sparkSession.range(1).select(*_record(r, i)) for i, r in live])
-    zero = F.lit(0).cast("long")
-    out = names.join(counts, "ordinal", "left").withColumns({"refs": F.coalesce("refs", zero), "orphans": F.coalesce("orphans", zero)})
-    return out.select("ordinal", "rule_id", "from_column", "to_column", "refs", "orphans", status(F.col("orphans")).alias("status"))
+    return reduce(DataFrame.unionByName, [_long_job(catalog, live[k : k + _RULES_A_JOB]) for k in range(0, len(live), _RULES_A_JOB)])
+
+
+def _long_job(catalog: TableCatalog, live: list[tuple[int, FkRule]]) -> DataFrame:
+    sides: dict[tuple[str, str], list[tuple[str, str, int]]] = {}
+    for bit, (_, r) in enumerate(live):
+        sides.setdefault((r.ref_table, r.ref_column), [(r.ref_table, r.ref_column, _FOUND)]).append((r.child_table, r.child_column, 1 << bit))
+    parts = []
+    for target, columns in enumerate(sides.values()):
+        kinds = [catalog.require(t).schema[c].dataType for t, c, _ in columns]
+        plain = all(isinstance(k, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) for k in kinds)
+        for t, c, bit in columns:
+            df = catalog.require(t)
+            key = _key(df, c, plain)
+            # Whole numbers stay numbers; all else is canonical text.
+            number, text = (key.cast("long"), F.lit(None).cast("string")) if plain else (F.lit(None).cast("long"), key)
+            parts.append(df.where(is_present(df, c)).select(F.lit(target).alias("target"), number.alias("number"), text.alias("text"), F.lit(bit).cast("long").alias("bit")))
+    met = reduce(DataFrame.unionByName, parts).groupBy("target", "number", "text").agg(F.bit_or("bit").alias("bits"))
+    has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit).cast("long")) != 0
+    counts = met.agg(*[x for n in range(len(live)) for x in (F.count_if(has(1 << n)).alias(f"refs{n}"), F.count_if(has(1 << n) & ~has(_FOUND)).alias(f"orphans{n}"))])
+    # The one row of counts has those of rules without any key too.
+    rows = F.array(*[F.struct(*_record(r, i), F.col(f"refs{n}").alias("refs"), F.col(f"orphans{n}").alias("orphans")) for n, (i, r) in enumerate(live)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*", status(F.col("r.orphans")).alias("status"))
 
 
 def skipped_rules(catalog: TableCatalog, rules: Iterable[FkRule]) -> list[FkRule]:

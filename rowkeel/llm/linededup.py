@@ -109,6 +109,11 @@ def twice_filter(docs: DataFrame, *, min_chars: int, bits: int) -> np.ndarray:
     return out
 
 
+def drop_lists(gone: DataFrame) -> DataFrame:
+    """gone: key, of, digest of dropped lines. Returns _key, _of, _drop: a list for each id and text."""
+    return gone.groupBy(F.col("key").alias("_key"), F.col("of").alias("_of")).agg(F.collect_set("digest").alias("_drop"))
+
+
 def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27) -> DataFrame:
     """docs with text without repeated lines, and n_lines, n_dropped long.
 
@@ -119,22 +124,25 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27) ->
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(twice_filter(docs, min_chars=min_chars, bits=bits))
-    own = docs.withColumn("_key", key_of(F.col("doc_id")))
+    # What a row drops follows from its id and its lines, so equal ids with equal texts share a list and no list exceeds the lines of one text.
+    # Texts that meet in one hash share theirs, which changes nothing else: a list holds only keys that all rows of the id lose.
+    own = docs.withColumn("_key", key_of(F.col("doc_id"))).withColumn("_of", F.xxhash64(raw(F.col("text"))))
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                rows = [(k, d) for k, x in zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256)) for d in _keys(x.as_buffer().to_pybytes(), min_chars)]
+                ids = zip(b.column(0).slice(i, 256).to_pylist(), b.column(1).slice(i, 256).to_pylist(), b.column(2).slice(i, 256))
+                rows = [(k, of, d) for k, of, x in ids for d in _keys(x.as_buffer().to_pybytes(), min_chars)]
                 if rows:
-                    pos = _positions([d for _, d in rows], bits)
+                    pos = _positions([d for _, _, d in rows], bits)
                     hit = np.flatnonzero(((twice[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1).all(axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[j][0] for j in hit], pa.int64()), pa.array([rows[j][1] for j in hit], pa.binary())], names=["key", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[j][k] for j in hit], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "of", "digest"])
 
-    suspects = save(own.select("_key", raw(F.col("text")).alias("text")).mapInArrow(suspect, "key long, digest binary"))
+    suspects = save(own.select("_key", "_of", raw(F.col("text")).alias("text")).mapInArrow(suspect, "key long, of long, digest binary"))
     # Written, so that the join below has shuffles of its own, of which Spark can split one that a single line fills.
     repeated = save(suspects.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("digest", "first"))
-    drops = suspects.join(repeated, "digest").where("key != first").groupBy(F.col("key").alias("_key")).agg(F.collect_set("digest").alias("_drop"))
+    drops = drop_lists(suspects.join(repeated, "digest").where("key != first"))
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def cut(texts, drop):
@@ -149,6 +157,6 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, bits: int = 1 << 27) ->
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
     # The lists of dropped keys are far smaller than the texts: they are the hashed side, and texts are never sorted.
-    joined = own.join(drops.hint("shuffle_hash"), "_key", "left").withColumn("_cut", cut(raw(F.col("text")), F.col("_drop")))
+    joined = own.join(drops.hint("shuffle_hash"), ["_key", "_of"], "left").withColumn("_cut", cut(raw(F.col("text")), F.col("_drop")))
     text = F.when(F.col("text").isNotNull(), F.col("_cut.text"))
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], F.col("_cut.n_lines").alias("n_lines"), F.col("_cut.n_dropped").alias("n_dropped"))

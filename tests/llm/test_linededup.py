@@ -58,3 +58,16 @@ def test_odd(spark, odd_docs, no_docs):
     assert [(r.text, r.n_dropped) for r in by[7]] == [("", 2)]
     assert len(by[4][0].text) > 1_000_000
     assert linededup.dedup_lines(no_docs).count() == 0
+
+
+def test_lists_follow_rows_not_ids(spark, monkeypatch):
+    # 300 texts without an id and 300 under one, of 4 lines each, all held by earlier documents too.
+    line = "repeated line number {}".format
+    texts = ["\n".join(line(4 * i + k) for k in range(4)) for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts] + [(900, t) for t in texts], "doc_id long, text string").repartition(3)
+    lists, plain_lists = [], getattr(linededup, "drop_lists")
+    monkeypatch.setattr(linededup, "drop_lists", lambda gone: lists.append(plain_lists(gone)) or lists[-1])
+    got = linededup.dedup_lines(df).collect()
+    assert {(r.text, r.n_dropped) for r in got if r.doc_id is None or r.doc_id == 900} == {("", 4)}
+    assert sorted(r.text for r in got if r.doc_id is not None and r.doc_id < 900) == sorted(texts)
+    assert max(len(r._drop) for r in lists[0].collect()) == 4

@@ -101,7 +101,7 @@ def route(capacity: Mapping[tuple[Source, ...], int], quotas: Mapping[Source, in
     return flow
 
 
-def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, max_patterns: int = 50_000, per_bucket: int = 256) -> DataFrame:
+def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, max_patterns: int = 50_000, per_bucket: int = 256, row: str | None = None) -> DataFrame:
     """Choose how often each document is taken so that every source comes near its quota.
 
     docs: doc_id long, size long, sources array<string>. quotas: words by source; left out, all words
@@ -110,12 +110,14 @@ def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights:
 
     Null size or sources count as 0 and as [null]; an empty array belongs nowhere and is not taken.
     Repeated rows are separate documents. An empty table gives no rows. More than max_patterns
-    distinct source sets raise ValueError: the flow is solved on the driver.
+    distinct source sets raise ValueError: the flow is solved on the driver. row names a long column that
+    is unique to a row; it is returned too, and its order breaks ties.
     """
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, [row] if row else []
     slim = save(
         docs.select(
             "doc_id",
+            *own,
             F.coalesce("size", F.lit(0)).cast("long").alias("size"),
             F.to_json(F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string")))))).alias("pattern"),
         ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
@@ -155,20 +157,24 @@ def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights:
         .select("pattern", F.col("bucket").alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
     )
     dealt = dealt.join(F.broadcast(edge), "pattern", "left")
-    out = T.StructType(dealt.select("pattern", "doc_id", "size", "passes", "source_size", "target").schema.fields + [T.StructField("extra", T.LongType())])
-    clear = dealt.where("edge is null or bucket != edge").select("pattern", "doc_id", "size", "passes", "source_size", "target", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0).cast("long").alias("extra"))
-    on_edge = dealt.where("bucket = edge").groupBy("pattern").applyInPandas(_fill, out)
+    out = T.StructType(dealt.select("pattern", "doc_id", *own, "size", "passes", "source_size", "target").schema.fields + [T.StructField("extra", T.LongType())])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        return _fill(rows, own)
+
+    clear = dealt.where("edge is null or bucket != edge").select("pattern", "doc_id", *own, "size", "passes", "source_size", "target", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0).cast("long").alias("extra"))
+    on_edge = dealt.where("bucket = edge").groupBy("pattern").applyInPandas(fill, out)
     repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return (
         clear.unionByName(on_edge)
         .withColumn("repeats", repeats)
-        .select("doc_id", "size", F.from_json("pattern", "array<string>").alias("sources"), "repeats", (F.col("repeats") * F.col("size")).alias("taken"), "source_size", "target")
+        .select("doc_id", *own, "size", F.from_json("pattern", "array<string>").alias("sources"), "repeats", (F.col("repeats") * F.col("size")).alias("taken"), "source_size", "target")
     )
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(rows: pd.DataFrame, own: list[str]) -> pd.DataFrame:
     """Take documents of one boundary bucket in hash order while they fit, then one more if that comes nearer."""
-    rows = rows.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["h", "doc_id", "size", *own], kind="stable").reset_index(drop=True)
     left, extra = int(rows["left"].iloc[0]), []
     for n in rows["size"]:
         extra.append(int(n <= left))
@@ -179,18 +185,18 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
         best = min(spare, key=lambda i: (abs(left - rows["size"][i]), i))
         if abs(left - rows["size"][best]) < left:
             rows.loc[best, "extra"] = 1
-    return rows[["pattern", "doc_id", "size", "passes", "source_size", "target", "extra"]]
+    return rows[["pattern", "doc_id", *own, "size", "passes", "source_size", "target", "extra"]]
 
 
-def mix_documents(documents: DataFrame, **options) -> DataFrame:
+def mix_documents(documents: DataFrame, *, row: str | None = None, **options) -> DataFrame:
     """mix() over documents, each a member of its one source; size is the number of words in text (0 for null)."""
-    return mix(documents.select("doc_id", word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), **options)
+    own = [row] if row else []
+    return mix(documents.select("doc_id", *own, word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), row=row, **options)
 
 
 def repeat_documents(documents: DataFrame, **options) -> DataFrame:
     """documents with each row as often as mix() takes it; rows without words are never taken. Columns stay."""
-    taken = mix_documents(documents, **options).where("repeats > 0").groupBy(F.col("doc_id").alias("_id"), F.col("repeats").alias("_n")).count()
-    # Rows that share an id may be taken differently often: one row here for each id.
-    per_id = taken.groupBy("_id").agg(F.max("_n").alias("_n"))
-    size = word_count(F.col("text"))
-    return documents.join(per_id, documents["doc_id"].eqNullSafe(F.col("_id"))).where(size > 0).withColumn("_n", F.explode(F.expr("sequence(1, int(_n))"))).drop("_id", "_n")
+    # Written once, so that a row keeps its number: ids may be null or shared.
+    rows = save(documents.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix_documents(rows, row="_row", **options).where("repeats > 0").select("_row", F.col("repeats").alias("_n"))
+    return rows.join(taken.hint("shuffle_hash"), "_row").withColumn("_n", F.explode(F.expr("sequence(1, int(_n))"))).select(*documents.columns)

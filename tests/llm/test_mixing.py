@@ -90,3 +90,24 @@ def test_repeats_are_rows(spark):
     want = {r.doc_id: r.repeats for r in mixing.mix_documents(docs).collect() if r.repeats}
     got = {r.doc_id: r["count"] for r in mixing.repeat_documents(docs).groupBy("doc_id").count().collect()}
     assert got == want and docs.where(F.col("source").isNull()).count()
+
+
+def test_repeats_of_null_and_shared_ids(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        source = rng.choice("aaaabbc")
+        doc_id = (None, 7, 1000 + i)[i % 3]  # a third without an id, a third under one id in all sources
+        rows.append((doc_id, f"t{i} " + "w " * rng.randint(0, 60), source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    targets, taken, times = mixing.fair_targets(sizes, mixing.cycling_weights(sizes)), {}, {}
+    for r in mixing.repeat_documents(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+        times[r.text] = times.get(r.text, 0) + 1
+    assert all(abs(taken.get(s, 0) - t) <= 61 for s, t in targets.items())
+    for s in sizes:  # rows of a source are taken equally often, or once more
+        n = [times.get(t, 0) for _, t, x in rows if x == s]
+        assert max(n) - min(n) <= 1

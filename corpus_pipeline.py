@@ -27,8 +27,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs, words=3, budget=2)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays, that of the smallest doc_id."""
+    return simhash.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ again, so that no task holds an unbounded group. Equal fingerprints are joined b
 Only a spanning forest leaves each task (each fingerprint with the smallest linked one of its task), so
 a group of copies of any size yields rows in proportion to its members; alternating large-star and small-star
 rounds then give the connected components.
+
+Near copies by similarity (drop_near_copies) need a budget too wide for pigeonhole. There the tries stand
+over permuted fingerprints and start at subtrees that share a few drawn bits, as many tries as leave a
+pair of `_PLAN_BITS` differing bits a 1 in 100 chance to be missed. What they find are candidates: their shingle
+sets decide.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql.window import Window
 from .common import NO_ID, key_of, raw, save
 
 _CHUNK = 1 << 16
+_PLAN_BITS = 12
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
@@ -84,17 +90,7 @@ def trie_links(fps: DataFrame, budget: int = 2, max_task: int = 100_000) -> Data
     pairs = fps.select(F.explode(F.array(*starts)).alias("t")).select("t.*").withColumn("b", F.col("a"))
     if budget == 0:
         return fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).where("false")
-    ready = []
-    while True:
-        sizes = pairs.groupBy("rot", "depth", "a", "b").count().where(F.col("count") > max_task)
-        if sizes.isEmpty():
-            break
-        hot = save(sizes.drop("count"))
-        on = ["rot", "depth", "a", "b"]
-        ready.append(pairs.join(hot, on, "left_anti"))
-        pairs = save(_descend(pairs.join(hot, on, "left_semi"), budget))
-    for more in ready:
-        pairs = pairs.unionByName(more)
+    pairs = _split_hot(pairs, budget, max_task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_tasks(batches):
@@ -105,6 +101,21 @@ def trie_links(fps: DataFrame, budget: int = 2, max_task: int = 100_000) -> Data
     return pairs.select(*keys, "f").repartition(*keys).sortWithinPartitions(*keys, "f").mapInArrow(run, "src long, dst long").distinct()
 
 
+def _split_hot(pairs: DataFrame, budget: int, max_task: int) -> DataFrame:
+    """Expand node pairs of more than max_task fingerprints until there are none."""
+    on, ready = ["rot", "depth", "a", "b"], []
+    while True:
+        sizes = pairs.groupBy(*on).count().where((F.col("count") > max_task) & (F.col("depth") < 64))
+        if sizes.isEmpty():
+            break
+        hot = save(sizes.drop("count"))
+        ready.append(pairs.join(hot, on, "left_anti"))
+        pairs = save(_descend(pairs.join(hot, on, "left_semi"), budget))
+    for more in ready:
+        pairs = pairs.unionByName(more)
+    return pairs
+
+
 def _descend(pairs: DataFrame, budget: int, bits: int = 6) -> DataFrame:
     """Replace each node pair by the pairs of nodes `bits` levels further down that stay within the budget."""
     masks = F.array(*[F.lit(m).cast("long") for m in range(1 << bits) if m.bit_count() <= budget])
@@ -118,7 +129,7 @@ def _descend(pairs: DataFrame, budget: int, bits: int = 6) -> DataFrame:
     na = F.expr("shiftleft(a, down)").bitwiseOR(F.when(on_a, F.col("own")).otherwise(other))
     nb = F.expr("shiftleft(b, down)").bitwiseOR(F.when(on_a, other).otherwise(F.col("own")))
     same = F.col("a") == F.col("b")  # a pair of one node with itself: count each pair of children once
-    return split.select("rot", (F.col("depth") + F.col("down")).alias("depth"), F.when(same, F.least(na, nb)).otherwise(na).alias("a"), F.when(same, F.greatest(na, nb)).otherwise(nb).alias("b"), "f")
+    return split.select("rot", (F.col("depth") + F.col("down")).alias("depth"), F.when(same, F.least(na, nb)).otherwise(na).alias("a"), F.when(same, F.greatest(na, nb)).otherwise(nb).alias("b"), *[c for c in pairs.columns if c not in ("rot", "depth", "a", "b")])
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -143,8 +154,8 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
-def _join_tasks(rows: dict[str, np.ndarray], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Descend all node pairs of rows together; returns each linked fingerprint with the smallest of its local component."""
+def _near_pairs(rows: dict[str, np.ndarray], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Descend all node pairs of rows together: indexes of the rows whose fingerprints differ in `budget` or fewer bits."""
     f, a, b, rot, depth = (rows[n] for n in ("f", "a", "b", "rot", "depth"))
     f = f.astype(np.int64).view(np.uint64)
     new = np.r_[True, (rot[1:] != rot[:-1]) | (depth[1:] != depth[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
@@ -152,7 +163,6 @@ def _join_tasks(rows: dict[str, np.ndarray], budget: int) -> tuple[np.ndarray, n
     hi = np.r_[lo[1:], len(f)]
     wide = hi - lo > 1
     lo, hi = lo[wide], hi[wide]
-    left, right = [], []
     for d in np.unique(depth[lo]):
         at = depth[lo] == d
         l, h = lo[at], hi[at]
@@ -166,12 +176,16 @@ def _join_tasks(rows: dict[str, np.ndarray], budget: int) -> tuple[np.ndarray, n
         mid = mids[np.searchsorted(mids, l[two] + 1)] if two.any() else l[two]
         err = np.bitwise_count(a[l[two]] ^ b[l[two]])
         start = (np.r_[l[one], l[two]], np.r_[h[one], mid], np.r_[l[one], mid], np.r_[h[one], h[two]], np.r_[np.zeros(one.sum(), np.int64), err.astype(np.int64)])
-        for i, j in _descend_local(f, start, int(d), budget):
-            left.append(i)
-            right.append(j)
-    if not left:
+        yield from _descend_local(f, start, int(d), budget)
+
+
+def _join_tasks(rows: dict[str, np.ndarray], budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Returns each linked fingerprint with the smallest of its local component."""
+    f, rot = rows["f"].astype(np.int64).view(np.uint64), rows["rot"]
+    pairs = list(_near_pairs(rows, budget))
+    if not pairs:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    i, j = np.concatenate(left), np.concatenate(right)
+    i, j = (np.concatenate(x) for x in zip(*pairs))
     turn = rot.astype(np.uint64)
     with np.errstate(all="ignore"):
         own = np.where(turn == 0, f, (f >> turn) | (f << ((np.uint64(64) - turn) & np.uint64(63))))
@@ -290,3 +304,152 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 3, budget: int = 2, ma
     # Only rows that repeat an id and a fingerprint meet in a window here.
     order = Window.partitionBy("_key", "_fp").orderBy(F.xxhash64("text"))
     return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+
+
+def shingles(data: bytes, words: int) -> set[bytes]:
+    """Distinct word shingles of UTF-8 text; a shorter text is one shingle, one without words none."""
+    parts = data.lower().split()  # bytes: A-Z and ASCII white space only
+    if not parts:
+        return set()
+    return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+
+
+def _sketch(data: bytes, words: int) -> tuple[int, int, int, int]:
+    """Digest of the shingle set, two independent SimHashes of it and its size."""
+    h = np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(data, words)), np.uint64))
+    ones = np.zeros((2, 64), np.int64)
+    for i in range(0, len(h), _CHUNK):
+        part = h[i : i + _CHUNK]
+        again = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        again = (again ^ (again >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        for k, x in enumerate((part, again ^ (again >> np.uint64(29)))):
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp, more = np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+    return xxhash.xxh3_64_intdigest(h.tobytes()), fp, more, len(h)
+
+
+def _tries(n: int) -> tuple[int, np.ndarray]:
+    """Bits that a subtree's fingerprints share, and a permutation of the 64 bits for each trie, for n fingerprints."""
+    bits = min(20, max(4, int(0.55 * np.log2(max(n, 1)))))
+    meet = float(np.prod([(64 - _PLAN_BITS - i) / (64 - i) for i in range(bits)]))
+    rng = np.random.default_rng(64)
+    return bits, np.array([rng.permutation(64) for _ in range(int(np.ceil(np.log(0.01) / np.log(1 - meet))))])
+
+
+def _best(x: np.ndarray, y: np.ndarray, err: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `upto` nearest y of each x."""
+    at = np.lexsort((y, err, x))
+    x, y, err = x[at], y[at], err[at]
+    first = np.r_[np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]
+    rank = np.arange(len(x)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    return x[rank < upto], y[rank < upto], err[rank < upto]
+
+
+def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto: int, max_task: int) -> DataFrame:
+    """nodes: sig, fp, more, n, comp. Returns x, y, err: for each sig the `upto` nearest at least, of other components, that the tries find."""
+    bits, order = _tries(n)
+
+    def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 14):
+                part = b.slice(at, 1 << 14)
+                fp = part.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+                own = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                for rot, turn in enumerate(order):
+                    f = np.packbits(np.ascontiguousarray(own[:, turn]), axis=1, bitorder="little").view("<u8")[:, 0]
+                    rest = [part.column(c) for c in ("sig", "more", "n", "comp")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), rot, np.int32)), pa.array(f.view(np.int64)), *rest], names=["rot", "f", "sig", "more", "n", "comp"])
+
+    a = F.shiftrightunsigned(F.col("f"), 64 - bits)
+    tries = nodes.select("fp", "sig", "more", "n", "comp").mapInArrow(permute, "rot int, f long, sig long, more long, n long, comp long")
+    pairs = _split_hot(tries.select("rot", F.lit(bits).alias("depth"), a.alias("a"), a.alias("b"), "f", "sig", "more", "n", "comp"), budget, max_task)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tasks(batches):
+            sig, size, comp = (rows[c] for c in ("sig", "n", "comp"))
+            f, more = (rows[c].astype(np.int64).view(np.uint64) for c in ("f", "more"))
+            held, waiting = [], 0
+            for i, j in _near_pairs(rows, budget):
+                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                on = (comp[i] != comp[j]) & (low >= similarity * high)
+                i, j = i[on], j[on]
+                err = np.bitwise_count(f[i] ^ f[j]).astype(np.int32) + np.bitwise_count(more[i] ^ more[j])
+                i, j, err = (x[err <= 2 * budget] for x in (i, j, err))
+                held.append((np.r_[i, j], np.r_[j, i], np.r_[err, err]))
+                waiting += len(i)
+                if waiting > 1 << 20:  # bound what is held to the nearest of each
+                    held, waiting = [_best(*(np.concatenate(x) for x in zip(*held)), upto)], 0
+            if held:
+                x, y, err = _best(*(np.concatenate(x) for x in zip(*held)), upto)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[x]), pa.array(sig[y]), pa.array(err.astype(np.int32))], names=["x", "y", "err"])
+
+    keys = ["rot", "depth", "a", "b"]
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "f").mapInArrow(run, "x long, y long, err int").groupBy("x", "y").agg(F.min("err").alias("err"))
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "first"), "sig")
+    texts = save(ends.join(marked.select(F.col("_row").alias("first"), raw(F.col("text")).alias("text")), "first").select("sig", "text"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = shingles(x.as_buffer().to_pybytes(), words), shingles(y.as_buffer().to_pybytes(), words)
+                both = len(x & y)
+                hit.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["src", "dst"]).filter(pa.array(hit, pa.bool_()))
+
+    left = texts.select(F.col("sig").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("sig").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "x", "y").mapInArrow(judge, "src long, dst long")
+
+
+def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget: int, max_task: int, nearest: int = 2) -> DataFrame:
+    """marked: _row, _sig, _fp, _more, _n, text. Returns sig, root: the component of each distinct shingle set.
+
+    A round confirms the `nearest` candidates of each set that are in other components. A pair that a round leaves out
+    has more candidates than that at both ends, so only such sets go on, with more candidates each, until none is left out.
+    """
+    nodes = save(marked.groupBy(F.col("_sig").alias("sig")).agg(F.first("_fp").alias("fp"), F.first("_more").alias("more"), F.first("_n").alias("n"), F.min("_row").alias("first")))
+    n = nodes.count()
+    left, roots = nodes.withColumn("comp", F.col("sig")), nodes.select("sig", F.col("sig").alias("root"))
+    links, tried = None, None
+    while True:
+        found = _candidates(left, n, similarity, budget, nearest + 1, max_task)
+        order = Window.partitionBy("x").orderBy("err", "y")
+        ranked = save(found.withColumn("rank", F.row_number().over(order)))
+        pairs = ranked.where(F.col("rank") <= nearest).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = save(_confirmed(pairs, nodes, marked, words, similarity))
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            linked = components(links)
+            roots = save(nodes.select("sig").join(linked, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root")))
+        more = ranked.where(F.col("rank") > nearest).select(F.col("x").alias("sig")).distinct()
+        if more.isEmpty():
+            return roots
+        left = save(nodes.join(more, "sig", "left_semi").join(roots.withColumnRenamed("root", "comp"), "sig"))
+        nearest *= 4
+
+
+def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, budget: int = 16, max_task: int = 20_000) -> DataFrame:
+    """docs with one row of each group of near copies, that of its smallest doc_id (null last). Columns stay.
+
+    Near copies: texts whose sets of word shingles have a Jaccard similarity of `similarity` or more, and what they link to.
+    Candidates differ in `budget` or fewer of the 64 bits of their SimHash; each link is confirmed by the sets.
+    """
+
+    @F.pandas_udf("sig long, fp long, more long, n long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        own = np.array([_sketch(x, words) for x in texts], np.uint64).reshape(-1, 4).view(np.int64)
+        return pd.DataFrame(own, columns=["sig", "fp", "more", "n"])
+
+    sketch = docs.withColumn("_s", run(raw(F.col("text")))).withColumn("_key", key_of(F.col("doc_id"))).withColumn("_row", F.monotonically_increasing_id())
+    marked = save(sketch.select(*docs.columns, "_key", "_row", *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("sig", "fp", "more", "n")]))
+    roots = near_copy_roots(marked, words=words, similarity=similarity, budget=budget, max_task=max_task)
+    members = marked.select("_key", "_row", F.col("_sig").alias("sig"), F.xxhash64("text").alias("_h")).join(roots, "sig")
+    keep = members.groupBy("root").agg(F.min(F.struct("_key", "sig", "_h", "_row")).alias("r")).select("r._row")
+    return marked.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)

@@ -128,3 +128,45 @@ def test_odd(spark, odd_docs, no_docs):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 4, 5, 6, 8]
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
     assert spark.range(1).select(simhash.fp_hex(F.lit(10).cast("long")).alias("x")).first().x == "000000000000000a"
+
+
+def near_copies(rng, n):
+    """n texts of 60 to 300 words and a copy of each in which a run of words is replaced."""
+    out = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        copy, k = list(words), rng.randint(1, max(1, len(words) // 12 - 4))
+        at = rng.randrange(len(words) - k)
+        copy[at : at + k] = [f"new{rng.randrange(5000)}" for _ in range(k)]
+        out.append((" ".join(words), " ".join(copy)))
+    return out
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_recall(spark):
+    pairs = [p for p in near_copies(random.Random(11), 400) if jaccard(*p) >= 0.8]
+    wide = [p for p in pairs if (brute_fingerprint(p[0]) ^ brute_fingerprint(p[1])).bit_count() > 2]
+    assert len(pairs) > 300 and len(wide) > 200
+    far = [(a, " ".join(a.split()[: len(a.split()) // 2])) for a, _ in near_copies(random.Random(12), 50)]  # half a text isn't a near copy
+    docs = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs + far) for k, t in enumerate(p)], "doc_id long, text string").repartition(3)
+    for options in ({}, {"max_task": 60}):
+        kept = {r.doc_id for r in simhash.drop_near_copies(docs, **options).collect()}
+        assert kept >= {2 * i for i in range(len(pairs + far))} | {2 * i + 1 for i in range(len(pairs), len(pairs + far))}
+        assert sum(2 * i + 1 not in kept for i in range(len(pairs))) >= 0.97 * len(pairs)
+
+
+def test_large_group_of_near_copies(spark):
+    # Each differs from all others in one word: more candidates than a round takes, one component.
+    base = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:i], "odd", *base[i + 1 :]])) for i in range(200)] + [(None, " ".join(base)), (500, "other words")], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 500}
+
+
+def test_near_copies_odd(spark, odd_docs, no_docs):
+    out = simhash.drop_near_copies(odd_docs)
+    assert out.columns == odd_docs.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 4, 5, 6, 8]
+    assert simhash.drop_near_copies(no_docs).count() == 0

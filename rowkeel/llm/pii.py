@@ -1,10 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors in a text: at-signs, schemes, identifier cues, plus signs before digits,
-and digit pairs that an address or a number must contain. Deterministic local parsers then expand each anchor
-to its boundaries and validate it. Kinds email, ip, card and phone equal leftmost non-overlapping matches
-of their patterns; account (a number or code after a cue such as iban) and login (user and
-password in a url) are the method's own.
+One Aho-Corasick automaton finds anchors in a text, whatever their case: at-signs, schemes, identifier cues, plus signs
+before digits, and digit pairs that an address or a number must contain. Deterministic local parsers then expand
+each anchor to its boundaries and validate it. Kinds email, ip, card and phone equal leftmost non-overlapping matches
+of their patterns; account (a number or code after a cue such as iban), secret (the value that is given to a cue such
+as token or password) and login (user and password in a url) are the method's own.
 """
 
 from __future__ import annotations
@@ -17,15 +17,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 Span = tuple[int, int]
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "login")
+KINDS = (*BASE, "account", "secret", "login")
 _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | _DIGITS
 _LOCAL, _LABEL, _PHONE = _ALNUM | frozenset("._%+-"), _ALNUM | {"-"}, _DIGITS | frozenset(" ().-")
-#: Cues before an account number or identifier (fixed values).
-CUES = ("iban", "account", "acct", "passport", "ssn", "konto", "cuenta", "compte")
+# Fixed values, in lower case: cues before an account number or identifier, before a key, before a password; url schemes.
+CUES = ("iban", "account", "acct", "passport", "ssn", "social security", "driver license", "tax id", "konto", "kontonummer", "cuenta", "compte")
+KEY_CUES = ("token", "api key", "api_key", "api-key", "apikey", "secret", "secret key", "secret_key", "access key", "access_key", "private key", "private_key", "client_secret", "auth", "authorization", "bearer", "credential", "credentials")
+PASSWORD_CUES = ("password", "passwd", "passwort", "passphrase", "pwd", "contraseña", "mot de passe", "kennwort")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 @cache
@@ -39,9 +44,9 @@ def automaton() -> ahocorasick.Automaton:
             a.add_word(f"{d}{e}", ("digits", 2))
             a.add_word(f"{d} {e}", ("digits", 3))
             a.add_word(f"{d}-{e}", ("digits", 3))
-    for c in CUES:
-        for form in (c, c.upper(), c.capitalize()):
-            a.add_word(form, ("cue", len(c)))
+    for what, cues in (("cue", CUES), ("key", KEY_CUES), ("password", PASSWORD_CUES)):
+        for c in cues:
+            a.add_word(c, (what, len(c)))
     for s in SCHEMES:
         a.add_word(s, ("scheme", len(s)))
     a.make_automaton()
@@ -147,14 +152,14 @@ class _Account:
 
     end = 0
     _gap = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?[\s:#=]{1,3}", re.I | re.A)
-    _code = re.compile(r"[A-Za-z0-9](?:[ -]?[A-Za-z0-9]){7,33}")
+    _word = re.compile(r"[ -]?[A-Za-z0-9]+")
 
     def parse(self, text: str, at: int, size: int) -> Span | None:
         if at < self.end or at and text[at - 1].isalnum() or not (gap := self._gap.match(text, at + size)):
             return None
         start = gap.end()
         end = start  # only groups that hold a digit belong to the number
-        while (word := re.compile(r"[ -]?[A-Za-z0-9]+").match(text, end)) and any(c in _DIGITS for c in word[0]) and word.end() - start <= 42:
+        while (word := self._word.match(text, end)) and any(c in _DIGITS for c in word[0]) and word.end() - start <= 42:
             end = word.end()
         code = text[start:end]
         bare = sum(c in _ALNUM for c in code)
@@ -164,6 +169,41 @@ class _Account:
         return start, end
 
 
+class _Secret:
+    """After a cue that is a whole word: a sign of assignment (or a blank after bearer), then a value, in quotes or bare.
+
+    A key is 8 to 512 letters, digits and signs of usual encodings, with a digit and a letter. A password is
+    6 to 128 characters without blanks or quotes, one of them no letter; a bare one loses closing punctuation.
+    """
+
+    end = 0
+    _gap = re.compile(r"""["'`]?\s{0,3}(?::=|=>|==|[:=])\s{0,3}(?:bearer\s)?["'`]?""", re.I)
+    _blank = re.compile(r"\s")
+    # A run that reaches its limit is too long; the limits keep the time linear.
+    _key = re.compile(r"[A-Za-z0-9_+/=.~-]{1,513}")
+    _password = re.compile(r"""[^\s"'`]{1,129}""")
+
+    def parse(self, text: str, at: int, size: int, what: str) -> Span | None:
+        if at < self.end or at and text[at - 1].isalnum():
+            return None
+        gap = self._gap.match(text, at + size)
+        if not gap and text[at : at + size].lower() == "bearer":
+            gap = self._blank.match(text, at + size)
+        value = gap and (self._key if what == "key" else self._password).match(text, gap.end())
+        if not value:
+            return None
+        start, key = value.start(), what == "key"
+        body = value[0].rstrip(".~-" if key else ".,;:!?)]}")
+        if key:
+            good = len(value[0]) <= 512 and len(body) >= 8 and any(c in _DIGITS for c in body) and any(c in _ALNUM and c not in _DIGITS for c in body)
+        else:
+            good = len(value[0]) <= 128 and len(body) >= 6 and not body.isalpha()
+        if not good:
+            return None
+        self.end = start + len(body)
+        return start, self.end
+
+
 class _Login:
     """After a scheme: user:password@ before the host."""
 
@@ -180,13 +220,14 @@ class _Login:
 def find(text: str) -> dict[str, list[Span]]:
     """Spans by kind in code points, end exclusive, in order."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    email, ip, card, phone, account, login = _Email(), _Ip(), _Card(), _Phone(), _Account(), _Login()
+    email, ip, card, phone, account, secret, login = _Email(), _Ip(), _Card(), _Phone(), _Account(), _Secret(), _Login()
 
     def add(kind: str, span: Span | None) -> None:
         if span:
             out[kind].append(span)
 
-    for last, (what, size) in automaton().iter(text):
+    # Anchors are found in the text with A-Z lower-cased, which keeps every place.
+    for last, (what, size) in automaton().iter(text.lower() if text.isascii() else text.translate(_FOLD)):
         at = last - size + 1
         if what == "digits":
             add("card", card.parse(text, at))
@@ -198,6 +239,8 @@ def find(text: str) -> dict[str, list[Span]]:
             add("phone", phone.parse(text, at))
         elif what == "cue":
             add("account", account.parse(text, at, size))
+        elif what in ("key", "password"):
+            add("secret", secret.parse(text, at, size, what))
         else:
             add("login", login.parse(text, at, size))
     return out
@@ -207,13 +250,14 @@ def _listed(spans: dict[str, list[Span]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k in kinds for a, z in sorted(spans[k]))
 
 
-_RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
+_RESULT = "n_email long, n_ip long, n_card long, n_phone long, n_account long, n_secret long, n_login long, base_spans string, spans string"
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone long, and base_spans and spans: kind:start:end by kind, then start, comma-joined.
+    """docs with n_email, n_ip, n_card, n_phone, n_account, n_secret, n_login long, n_spans long (all), found boolean, and
+    base_spans and spans: kind:start:end by kind, then start, comma-joined.
 
-    Null and empty texts have no spans. Texts are read whole. Clashing columns of docs are replaced.
+    Null and empty texts have no spans. Texts are read whole. Columns of docs of these names are replaced, all others stay.
     """
     names = [c.split()[0] for c in _RESULT.split(", ")]
 
@@ -221,15 +265,17 @@ def detect(docs: DataFrame) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            s = find(t or "")
-            rows.append((*(len(s[k]) for k in BASE), _listed(s, BASE), _listed(s, KINDS)))
+            s = find(t)
+            rows.append((*(len(s[k]) for k in KINDS), _listed(s, BASE), _listed(s, KINDS)))
         return pd.DataFrame(rows, columns=names)
 
-    return docs.drop(*names).withColumn("_s", run(F.coalesce(F.col("text"), F.lit("")))).select("*", "_s.*").drop("_s")
+    got = packed(docs, s=run(F.coalesce(F.col("text"), F.lit(""))))
+    total = sum((F.col(f"s.n_{k}") for k in KINDS[1:]), F.col(f"s.n_{KINDS[0]}"))
+    return unpacked(got, docs, new={n: F.col(f"s.{n}") for n in names} | {"n_spans": total, "found": total > 0})
 
 
 def redact(docs: DataFrame, marks: dict[str, str] | None = None) -> DataFrame:
-    """docs with every span in text replaced by <kind>, or marks[kind]; overlapping spans become the earliest one's mark."""
+    """docs with every span in text replaced by <kind>, or marks[kind]; overlapping spans become the earliest one's mark. Null stays null."""
     marks = marks or {}
 
     @F.pandas_udf("string")

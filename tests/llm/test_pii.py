@@ -40,8 +40,67 @@ def test_own_kinds():
     assert pii.find("")["account"] == []
 
 
+def plain_own(text):
+    """The own kinds by regular expressions over the whole text."""
+    cues = {"account": pii.CUES, "key": pii.KEY_CUES, "password": pii.PASSWORD_CUES}
+    at = sorted((m.end(1), m.start(1), what) for what, own in cues.items() for c in own for m in re.finditer(rf"(?i)(?<![^\W_])(?=({re.escape(c)}))(?s:.)", text))
+    assign = r"""(?ai:["'`]?\s{0,3}(?::=|=>|==|[:=])\s{0,3}(?:bearer\s)?["'`]?)"""
+    account = re.compile(r"(?ai:(?:\s?(?:no|nr|number|num)\b\.?)?[\s:#=]{1,3})(?P<v>(?:(?=[ -]?[A-Za-z]*[0-9])[ -]?[A-Za-z0-9]+)+)")
+    key = re.compile(assign + r"(?P<v>[A-Za-z0-9_+/=.~-]{8,512})(?![A-Za-z0-9_+/=.~-])")
+    password = re.compile(assign + r"""(?P<v>[^\s"'`]{6,128})(?![^\s"'`])""")
+    bearer = re.compile(r"\s(?P<v>[A-Za-z0-9_+/=.~-]{8,512})(?![A-Za-z0-9_+/=.~-])")
+    out, ends = {"account": [], "secret": []}, {"account": 0, "secret": 0}
+    for z, a, what in at:
+        kind = "account" if what == "account" else "secret"
+        if a < ends[kind]:
+            continue
+        m = {"account": account, "key": key, "password": password}[what].match(text, z)
+        if not m and text[a:z].lower() == "bearer" and not re.compile(assign).match(text, z):
+            m = bearer.match(text, z)
+        if not m:
+            continue
+        v = m["v"]
+        if what == "account":
+            good = 8 <= len(re.sub("[ -]", "", v)) <= 34 and len(re.findall("[0-9]", v)) >= 4
+        else:
+            v = re.sub(r"[.~-]+$" if what == "key" else r"[.,;:!?)\]}]+$", "", v)
+            good = len(v) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) if what == "key" else len(v) >= 6 and not v.isalpha()
+        if good:
+            out[kind].append((m.start("v"), m.start("v") + len(v)))
+            ends[kind] = m.start("v") + len(v)
+    out["login"] = [m.span(1) for m in re.finditer(r"(?i:http://|https://|ftp://|ssh://)([^\s/?#@:]+:[^\s/?#@]+)(?=@)", text)]
+    return out
+
+
+own_parts = st.sampled_from(["token", "Token", "API_KEY", "secret", "secret key", "client_secret", "bearer ", "Password", "pwd", "IBAN", "account", "acct no.", " = ", ": ", "=", '"', "'", " ", ".", "-", "a1b2c3d4e5", "0123456789abcdef", "hunter22", "s3cr3t!", "DE89 3704 0044", "12345678", "x", "é", "https://", "u:p", "@host/", "\n", "AbCdEfGh"])
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(own_parts, max_size=14).map("".join))
+def test_own_kinds_equal_expressions(text):
+    found = pii.find(text)
+    assert {k: found[k] for k in ("account", "secret", "login")} == plain_own(text)
+
+
+def test_secrets():
+    text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"; Api-Key: sk-12345678abcd, PASSWORD=hunter2! Authorization: Bearer abc123def456. The token of love; secret: none'
+    assert [text[a:z] for a, z in pii.find(text)["secret"]] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk-12345678abcd", "hunter2", "abc123def456"]
+
+
+def test_every_token_has_a_span(spark):
+    """All documents of sf0.1 that give a token a value."""
+    import os
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        return
+    docs = spark.read.parquet(path).where("text rlike '(?i)token = '")
+    rows = pii.detect(docs).select("n_secret", "n_spans", "found").collect()
+    assert len(rows) > 100 and all(r.n_secret > 0 and r.found for r in rows)
+
+
 def test_long_texts_take_linear_time():
-    for t in ("a@" * 200_000, "1.2." * 200_000, "+1" * 200_000, "9" * 400_000, "1 -" * 200_000, "http://a:" * 50_000, "iban: " * 50_000):
+    for t in ("a@" * 200_000, "1.2." * 200_000, "+1" * 200_000, "9" * 400_000, "1 -" * 200_000, "http://a:" * 50_000, "iban: " * 50_000, "token=" * 50_000, "password:" * 50_000):
         assert {k: v for k, v in pii.find(t).items() if k in pii.BASE} == plain(t) if len(t) < 300_000 else pii.find(t)
 
 

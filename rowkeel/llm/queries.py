@@ -18,10 +18,36 @@ URL_RULES: list[urlfilter.Rule] = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Site names of the small labelled url table (fixed values): ones to block, and ones to leave.
-BLOCK_NAMES = "casino-win casino-bonus best-casino free-bets bets-online cheap-pills buy-pills ads-track ads-click spam-farm link-farm adult-x adult-video win-prize poker-bonus loan-fast".split()
-ALLOW_NAMES = "thering therin thther tionble ththon ththan tionsh ththed therha ththre ththea tiontion ththhe therti therly ththst ththin thernd ththha tionre news docs library university recipes weather garden history science music".split()
-_PREFIXES, _ENDS = ("", "www.", "m.", "blog."), ("", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed")
+# Site names of the small labelled url table, from general knowledge of what such sites call themselves.
+BLOCK_NAMES = (
+    "online-casino casino-royal vegas-casino casino-slots casinowinner lucky-casino live-casino casino-club mega-jackpot jackpot-win poker-room video-poker free-poker slots-free spin-slots bingo-bonus roulette-win "
+    "sport-bets bets-today live-bets best-bets bet-now betting-tips win-bets freebet-club free-money free-prizes free-gift free-iphone win-cash win-money bigwin prize-winner lottery-win "
+    "diet-pills pills-shop pills-online buy-viagra cheap-viagra cheap-meds cheap-replica cheap-watches cheap-loans payday-loans quick-loan fast-cash easy-money get-rich "
+    "ads-server ads-network adsclick banner-ads pop-ads popup-ads adserver-one track-clicks click-track ad-tracker pixel-track tracking-ads clickbait-news "
+    "spam-mail spam-bot bulk-spam spamlinks link-spam content-farm click-farm farm-links seo-farm backlink-farm "
+    "adult-cams adult-movies adult-chat adult-dating sexy-adult x-rated xxx-tube porn-tube hot-porn sex-cams nude-cams escort-girls "
+    "warez-crack crack-keygen free-cracks torrent-warez malware-drop phish-login fake-bank scam-offer replica-bags hack-tools"
+).split()
+ALLOW_NAMES = (
+    "news daily-news press weather theatre theory nothing-new mother brother father other-people another gathering northern southern earth-science health thread thing everything threshold thirteen thursday theatre-house "
+    "nation station fiction education action tradition translation nature-station question junction caption relation notions options edition vacation "
+    "cooking gardening reading writing walking running painting spring morning evening string-quartet king-street ring-road engineering hearing-aid weathering "
+    "university library museum school college archive research journal science history letters philosophy mathematics physics chemistry biology geography literature language grammar dictionary "
+    "recipes bread kitchen garden flowers roses-garden forest river mountain ocean island village city-library town-hall harbour bridge castle church market bakery coffee tea-house honey apple orchard "
+    "music concert-hall opera guitar piano choir dance film-review cinema gallery painting-school design architecture photo-album poetry novel storytelling books bookshop paper pencil "
+    "docs handbook manual tutorial software open-source code-review linux-help database network-lab computer keyboard robotics astronomy telescope satellite climate energy solar-power wind-mill water "
+    "sport-club football tennis cycling swimming hiking sailing chess horses farm-museum farmer-market animals birds cats dogs fish "
+    "hospital doctor nurse pharmacy-school dentist family children parents friends wedding travel railway train-times airport hotel hostel camping beach winter summer autumn "
+    "government parliament council election law-court police fire-brigade post-office bank-museum insurance taxes statistics economy trade industry steel textile furniture houses letters-online "
+    "the-times rather whether leather feather heather there where others weathers tether ether neither either together gather lather hither thinker thanks thunder think thorn thistle thyme thesis themes therapy thermal thermometer theorem "
+    "entry errand ended needed seeded steady ready indeed enter centre render tender engine onion ounce outer shore share shine shade sharp sheet shelter shop-fitters ships "
+    "blending tables cable stable noble able humble simple-living people-finder steeple temple "
+    "zeitung garten schule wetter reisen kochen buch haus berg wandern strasse musik kinder gesundheit arbeit wissen freiheit einheit sprache kirche "
+    "cuisine maison jardin musique voyage histoire lettres ecole chateau montagne nouvelles lecture peinture sante enfants cinema-francais eau-vive "
+    "cocina jardin-botanico escuela noticias viajes historia ciencia libros casa camino montes ciudad salud comida pueblo"
+).split()
+_SCHEMES, _DOMAINS, _LANGS, _NUMBERS = ("http", "https"), ("com", "net", "org"), ("en", "de", "fr", "es"), (12, 305, 4178, 9060, 736)
+_PREFIXES, _ENDS = ("", "www.", "m.", "blog."), ("", "/", ".html", "#top", "?page=2&ref=x", "?utm_source=feed", "/archive/", "/index.php?id=7")
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -36,14 +62,12 @@ def tokenizer_path() -> str:
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """Four urls a name. Prefixes, domains, paths and ends take turns alike for both labels, so only names tell them apart."""
+    """One url a name that allows, three a name that blocks: prefixes, domains and paths take turns alike for both, so only names tell them apart."""
     rows = []
-    for label, names in ((1, BLOCK_NAMES), (0, ALLOW_NAMES)):
-        for i, name in enumerate(names):
-            for k, prefix in enumerate(_PREFIXES):
-                n = 4 * i + k
-                scheme, domain, lang = ("http", "https")[(i + k) % 2], ("com", "net")[n // 2 % 2], ("en", "de", "fr", "es")[(i + n) % 4]
-                rows.append((f"{scheme}://{prefix}{name}.example.{domain}/{lang}/{37 * n % 9973}{_ENDS[n % 6]}", label))
+    for label, names, each in ((1, BLOCK_NAMES, 3), (0, ALLOW_NAMES, 1)):
+        for n in range(each * len(names)):
+            path = f"/{_LANGS[n // 2 % 4]}/{_NUMBERS[n // 3 % 5]}{_ENDS[n % 8]}"
+            rows.append((f"{_SCHEMES[n % 2]}://{_PREFIXES[n // 4 % 4]}{names[n // each]}.example.{_DOMAINS[n // 7 % 3]}{path}", label))
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, label)")
 
 

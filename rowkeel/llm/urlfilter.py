@@ -52,7 +52,7 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def train(labelled: DataFrame, *, width: int = 2048, epochs: int = 24, rate: float = 0.6, decay: float = 1e-4, max_rows: int = 2000) -> list[float]:
+def train(labelled: DataFrame, *, width: int = 2048, epochs: int = 12, rate: float = 0.6, decay: float = 1e-4, max_rows: int = 2000) -> list[float]:
     """Weights (width of them, then the bias) from labelled(url string, label int: 1 is block).
 
     Rows with a null url or label are left out. More than max_rows raise ValueError. Without rows all weights are 0.

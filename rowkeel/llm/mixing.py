@@ -4,7 +4,9 @@ Documents are aggregated by membership pattern (the set of sources they belong t
 routes each pattern's token capacity to the sources' quotas; the r-th pass over a pattern costs more
 than the one before (convex repetition cost), so fresh text is always used before repeats. Only the
 pattern totals reach the driver, and their number is checked against `max_patterns`. The documents
-that make up each pattern's flow are then picked in seeded hash order on the executors.
+that make up each pattern's flow are then picked in seeded hash order on the executors: in buckets of hashes up to the one
+in which the flow ends, and one by one within that. Equal hashes (repeated rows) count as one group there, however many
+they are. Documents of all other buckets are decided where they stand, without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections import deque
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import save, word_count
+from .common import save, unpacked, word_count
 
 Source = str | None
 _END = object()  # None is a source
@@ -101,27 +103,13 @@ def route(capacity: Mapping[tuple[Source, ...], int], quotas: Mapping[Source, in
     return flow
 
 
-def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, max_patterns: int = 50_000, per_bucket: int = 256, row: str | None = None) -> DataFrame:
-    """Choose how often each document is taken so that every source comes near its quota.
+def _pattern(sources: Column) -> Column:
+    return F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
 
-    docs: doc_id long, size long, sources array<string>. quotas: words by source; left out, all words
-    are shared by `weights` (see fair_targets), which needs one source a document. Returns doc_id,
-    size, sources, repeats long, taken long, source_size long and target double of the first source.
 
-    Null size or sources count as 0 and as [null]; an empty array belongs nowhere and is not taken.
-    Repeated rows are separate documents. An empty table gives no rows. More than max_patterns
-    distinct source sets raise ValueError: the flow is solved on the driver. row names a long column that
-    is unique to a row; it is returned too, and its order breaks ties.
-    """
-    spark, own = docs.sparkSession, [row] if row else []
-    slim = save(
-        docs.select(
-            "doc_id",
-            *own,
-            F.coalesce("size", F.lit(0)).cast("long").alias("size"),
-            F.to_json(F.array_sort(F.array_distinct(F.coalesce("sources", F.array(F.lit(None).cast("string")))))).alias("pattern"),
-        ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    )
+def _decide(slim: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple[int, ...], max_repeats: int, max_patterns: int, per_bucket: int, payload: str) -> DataFrame:
+    """slim, written: payload, size, pattern, h, r (unique). Returns payload, size, pattern, repeats long, source_size long, target double."""
+    spark = slim.sparkSession
     rows = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} distinct sets of sources")
@@ -147,7 +135,8 @@ def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights:
     plan = spark.createDataFrame(plan_rows, "pattern string, passes long, rest long, bits int, source_size long, target double")
 
     # At most max_patterns rows: a proven bound for the broadcasts below.
-    dealt = slim.join(F.broadcast(plan), "pattern").withColumn("bucket", F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)")))
+    bucket = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)"))
+    dealt = slim.join(F.broadcast(plan), "pattern").withColumn("bucket", bucket)
     upto = Window.partitionBy("pattern").orderBy("bucket")
     edge = (
         dealt.groupBy("pattern", "bucket", "rest")
@@ -157,46 +146,78 @@ def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights:
         .select("pattern", F.col("bucket").alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
     )
     dealt = dealt.join(F.broadcast(edge), "pattern", "left")
-    out = T.StructType(dealt.select("pattern", "doc_id", *own, "size", "passes", "source_size", "target").schema.fields + [T.StructField("extra", T.LongType())])
+    clear = dealt.where("edge is null or bucket != edge").withColumn("extra", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
+    on_edge = dealt.where("bucket = edge")
+    met = on_edge.join(_edge_extras(on_edge), "r")
+    out = [payload, "size", "pattern", "passes", "source_size", "target", F.col("extra").cast("long").alias("extra")]
+    repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
+    return clear.select(*out).unionByName(met.select(*out)).select(payload, "size", "pattern", repeats.alias("repeats"), "source_size", "target")
+
+
+def _edge_extras(on_edge: DataFrame) -> DataFrame:
+    """r, extra (0 or 1) of the rows in boundary buckets. Only groups of equal rows meet in one task, each as a count."""
+    key = ["pattern", "h", "size"]
+    groups = on_edge.groupBy(*key, "left").agg(F.count("*").alias("n"))
+    out = T.StructType([*groups.select(*key, "n").schema.fields, T.StructField("take", T.LongType())])
+    filled = save(groups.groupBy("pattern").applyInPandas(_fill, out))
+    rows = on_edge.select(*key, "r").join(filled, key)
+    sure = rows.where("take = 0 or take = n").select("r", F.when(F.col("take") > 0, 1).otherwise(0).alias("extra"))
+    # A group of which some are taken: those of the smallest r. r holds the partition and the place in it, so a window holds the rows of one partition.
+    some = rows.where("take > 0 and take < n").withColumn("part", F.shiftright("r", 33))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = some.groupBy(*key, "part").agg(F.count("*").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0))).select(*key, "part", "start")
+    place = F.row_number().over(Window.partitionBy(*key, "part").orderBy("r")) + F.col("start")
+    ranked = some.join(starts, [*key, "part"]).withColumn("place", place)
+    return sure.unionByName(ranked.select("r", F.when(F.col("place") <= F.col("take"), 1).otherwise(0).alias("extra")))
+
+
+def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+    """Take groups of one boundary bucket in hash order while they fit, then one document more if that comes nearer."""
+    rows = rows.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
+    left, take = int(rows["left"].iloc[0]), []
+    for size, n in zip(rows["size"], rows["n"]):
+        take.append(min(int(n), left // int(size)) if size else int(n))
+        left -= int(size) * take[-1]
+    spare = [i for i, (t, n, size) in enumerate(zip(take, rows["n"], rows["size"])) if t < n and size > 0]
+    if spare:
+        best = min(spare, key=lambda i: (abs(left - rows["size"][i]), i))
+        take[best] += int(abs(left - rows["size"][best]) < left)
+    return rows[["pattern", "h", "size", "n"]].assign(take=take)
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        return _fill(rows, own)
 
-    clear = dealt.where("edge is null or bucket != edge").select("pattern", "doc_id", *own, "size", "passes", "source_size", "target", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0).cast("long").alias("extra"))
-    on_edge = dealt.where("bucket = edge").groupBy("pattern").applyInPandas(fill, out)
-    repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return (
-        clear.unionByName(on_edge)
-        .withColumn("repeats", repeats)
-        .select("doc_id", *own, "size", F.from_json("pattern", "array<string>").alias("sources"), "repeats", (F.col("repeats") * F.col("size")).alias("taken"), "source_size", "target")
-    )
+def _slim(payload: Column, doc_id: Column, size: Column, sources: Column, tie: Column, seed: int) -> list[Column]:
+    size = F.coalesce(size, F.lit(0)).cast("long")
+    return [payload.alias("payload"), size.alias("size"), _pattern(sources).alias("pattern"), F.xxhash64(F.lit(seed), doc_id, size, tie).alias("h"), F.monotonically_increasing_id().alias("r")]
 
 
-def _fill(rows: pd.DataFrame, own: list[str]) -> pd.DataFrame:
-    """Take documents of one boundary bucket in hash order while they fit, then one more if that comes nearer."""
-    rows = rows.sort_values(["h", "doc_id", "size", *own], kind="stable").reset_index(drop=True)
-    left, extra = int(rows["left"].iloc[0]), []
-    for n in rows["size"]:
-        extra.append(int(n <= left))
-        left -= n * extra[-1]
-    rows["extra"] = extra
-    spare = rows.index[(rows["extra"] == 0) & (rows["size"] > 0)]
-    if len(spare):
-        best = min(spare, key=lambda i: (abs(left - rows["size"][i]), i))
-        if abs(left - rows["size"][best]) < left:
-            rows.loc[best, "extra"] = 1
-    return rows[["pattern", "doc_id", *own, "size", "passes", "source_size", "target", "extra"]]
+def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, max_patterns: int = 50_000, per_bucket: int = 256, tie: str | None = None) -> DataFrame:
+    """Choose how often each document is taken so that every source comes near its quota.
+
+    docs: doc_id long, size long, sources array<string>. quotas: words by source; left out, all words
+    are shared by `weights` (see fair_targets), which needs one source a document. Returns doc_id,
+    size, sources, repeats long, taken long, source_size long and target double of the first source.
+
+    Null size or sources count as 0 and as [null]; an empty array belongs nowhere and is not taken.
+    Repeated rows are separate documents. An empty table gives no rows. More than max_patterns
+    distinct source sets raise ValueError: the flow is solved on the driver. tie names a column that tells
+    documents of one id and size apart.
+    """
+    slim = save(docs.select(*_slim(F.col("doc_id"), F.col("doc_id"), F.col("size"), F.col("sources"), F.col(tie) if tie else F.lit(None).cast("long"), seed)))
+    done = _decide(slim, quotas, weights, max_repeats, max_patterns, per_bucket, "payload")
+    taken = (F.col("repeats") * F.col("size")).alias("taken")
+    return done.select(F.col("payload").alias("doc_id"), "size", F.from_json("pattern", "array<string>").alias("sources"), "repeats", taken, "source_size", "target")
 
 
-def mix_documents(documents: DataFrame, *, row: str | None = None, **options) -> DataFrame:
-    """mix() over documents, each a member of its one source; size is the number of words in text (0 for null)."""
-    own = [row] if row else []
-    return mix(documents.select("doc_id", *own, word_count(F.col("text")).alias("size"), F.array("source").alias("sources")), row=row, **options)
+def mix_documents(documents: DataFrame, **options) -> DataFrame:
+    """mix() over documents(doc_id, source, text), each a member of its one source; size is the number of words in text (0 for null)."""
+    own = documents.select("doc_id", word_count(F.col("text")).alias("size"), F.array("source").alias("sources"), F.xxhash64("text").alias("tie"))
+    return mix(own, tie="tie", **options)
 
 
-def repeat_documents(documents: DataFrame, **options) -> DataFrame:
-    """documents with each row as often as mix() takes it; rows without words are never taken. Columns stay."""
-    # Written once, so that a row keeps its number: ids may be null or shared.
-    rows = save(documents.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mix_documents(rows, row="_row", **options).where("repeats > 0").select("_row", F.col("repeats").alias("_n"))
-    return rows.join(taken.hint("shuffle_hash"), "_row").withColumn("_n", F.explode(F.expr("sequence(1, int(_n))"))).select(*documents.columns)
+def repeat_documents(documents: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, max_patterns: int = 50_000, per_bucket: int = 256) -> DataFrame:
+    """documents with each row as often as mix_documents() takes it; rows without words are never taken. Columns stay, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    slim = save(documents.select(*_slim(row, F.col("doc_id"), word_count(F.col("text")), F.array("source"), F.xxhash64("text"), seed)))
+    done = _decide(slim, None, weights, max_repeats, max_patterns, per_bucket, "payload").where("repeats > 0")
+    each = done.select(F.col("payload").alias("row"), F.explode(F.expr("sequence(1, int(repeats))")).alias("time"))
+    return unpacked(each, documents)

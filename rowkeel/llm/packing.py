@@ -10,6 +10,7 @@ partition's start, so that no length, however common, passes through one task.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,9 +30,34 @@ _CACHED = 48  # longest entry kept, in characters
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
+# The pre-tokenizer pattern of the vocabulary that chunks are cut for, and the names of its normalisers.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's file (as a dict) is of the kind that WordTokens may take apart: white space dropped, words cut by _PATTERN and closed by </w>."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    blank = [(n["pattern"], n["content"]) for n in steps if n["type"] == "Replace"]
+    return (
+        [n["type"] for n in steps] == _NORMALISERS
+        and blank == [({"Regex": r"\s+"}, " ")]
+        and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": _PATTERN}, "Removed", True)
+        and not cuts[1]["add_prefix_space"]
+        and not cuts[1]["use_regex"]
+        and (spec["model"]["type"], spec["model"]["end_of_word_suffix"], spec["model"]["dropout"]) == ("BPE", "</w>", None)
+        and not any(spec.get(k) for k in ("truncation", "padding", "post_processor"))
+        and all(not a["lstrip"] and not a["rstrip"] and " " not in a["content"] for a in spec["added_tokens"])
+    )
+
+
 class WordTokens:
     """Token ids of texts as little-endian uint32 bytes, chunk by chunk with bounded caches.
 
+    Other tokenizers than splits_at_blanks() knows encode whole texts.
+
     The vocabulary drops white space and its pre-tokenizer never joins what blanks separate, so a text's ids are
     its chunks' ids in a row. Texts are cut at spaces and line feeds only: all else stays with the tokenizer.
     A chunk of letters with ASCII punctuation after it is two pre-tokens; its letters are looked up alone. New
@@ -43,6 +69,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_chunk = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -84,6 +111,8 @@ class WordTokens:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._encode(texts)
         split = [t.replace("\n", " ").split(" ") for t in texts]
         cache = self.chunks
         found = [list(map(cache.get, words)) for words in split]

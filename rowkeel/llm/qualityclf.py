@@ -1,8 +1,9 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
 Features are hashed one- and two-word n-grams of the lower-cased words, and of the words' shapes (letters of a
-kind become one sign), with counts scaled to unit length. A word right after itself is one n-gram for all words. Training reads a bounded sample of labelled
-rows in one task; the weights are one array of fixed size. A text's score is a sparse dot product.
+kind become one sign), with counts scaled to unit length. A word right after itself is one n-gram for all words.
+The vectors of a bounded sample of labelled rows are made in many tasks and learnt from, in order, in one; the weights are
+one array of fixed size. A text's score is a sparse dot product.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw
+from .common import packed, raw, unpacked
 
 _CACHE = 300_000
 _SHAPE = bytes.maketrans(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)) + b"0123456789", b"A" * 26 + b"a" * 26 + b"a" * 128 + b"9" * 10)
@@ -77,15 +78,21 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(sample: DataFrame, *, bits: int = 18, epochs: int = 2, seed: int = 31) -> np.ndarray:
-    """Weights (2**bits and a bias) from a bounded sample(doc_id, text, label 0 or 1), read whole in one task (see common.labelled_sample).
+def train(sample: DataFrame, *, bits: int = 18, epochs: int = 2, seed: int = 31, tasks: int = 16) -> np.ndarray:
+    """Weights (2**bits and a bias) from a bounded sample(doc_id, text, label 0 or 1), one row an id (see common.labelled_sample).
 
-    Both labels weigh the same in all. Without rows all weights are 0.
+    Both labels weigh the same in all. Without rows all weights are 0. The order of learning follows from the ids alone.
     """
     rows = sample.select("doc_id", raw(F.col("text")).alias("text"), "label")
 
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [vector(x.as_buffer().to_pybytes(), bits) for x in b.column(1)]
+            at = pa.array([a.astype(np.int32) for a, _ in own], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), at, pa.array([x for _, x in own], pa.list_(pa.float64()))], names=["doc_id", "label", "at", "x"])
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(*vector(x.as_buffer().to_pybytes(), bits), y) for b in batches for x, y in zip(b.column(1), b.column(2).to_pylist())]
+        own = [(a.values.to_numpy(), x.values.to_numpy(), y) for b in batches for a, x, y in zip(b.column("at"), b.column("x"), b.column("label").to_pylist())]
         model, share = Ftrl(1 << bits), np.bincount([y for *_, y in own], minlength=2)
         for epoch in range(epochs):
             for i in np.random.default_rng(seed + epoch).permutation(len(own)):
@@ -93,14 +100,16 @@ def train(sample: DataFrame, *, bits: int = 18, epochs: int = 2, seed: int = 31)
                 model.update(at, x, y, len(own) / (2 * share[y]))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["w"])
 
-    got = rows.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "label").mapInArrow(fit, "w binary").collect()
+    made = rows.repartition(tasks, "doc_id").mapInArrow(vectors, "doc_id long, label int, at array<int>, x array<double>")
+    got = made.repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id", "label").mapInArrow(fit, "w binary").collect()
     return np.frombuffer(bytes(got[0].w), "<f4").astype(np.float64) if got else np.zeros((1 << bits) + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.3) -> DataFrame:
     """docs with score double (0 to 1, higher: label 1 likelier) and predicted int (1 from threshold on).
 
-    Null and empty texts have no features: their score is the bias's. Texts are read whole. Clashing columns are replaced.
+    Null and empty texts have no features: their score is the bias's. Texts are read whole. Columns of docs of these
+    names are replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     bits = (len(weights) - 1).bit_length() - 1
@@ -114,5 +123,5 @@ def score(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.3) -> Da
             out.append(1 / (1 + np.exp(-np.clip(w[at] @ x + w[-1], -35, 35))))
         return pd.Series(out, dtype="float64")
 
-    scored = docs.drop("score", "predicted").withColumn("score", run(raw(F.col("text"))))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = packed(docs, s=run(raw(F.col("text"))))
+    return unpacked(rows, docs, new={"score": F.col("s"), "predicted": (F.col("s") >= threshold).cast("int")})

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, key_of, raw, save
+from .common import NO_ID, key_of, mark_members, raw, save, unpacked
 
 _CHUNK = 1 << 16
 _PLAN_BITS = 12
@@ -292,18 +292,38 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, budget: int = 2, max_tas
     return own.join(of_fp, "fp").select("doc_id", "fp", F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"))
 
 
+def _sketched(docs: DataFrame, run) -> DataFrame:
+    """Written: row (a struct of all columns of docs), key, r (unique), h (hash of the text) and what run(text) gives."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, key_of(F.col("doc_id")).alias("key"), F.monotonically_increasing_id().alias("r"), F.xxhash64("text").alias("h"), run(raw(F.col("text"))).alias("s"))
+    return save(own.select("row", "key", "r", "h", "s.*"))
+
+
+def _without(marked: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs without the rows whose r is in gone(r). Rows that a filter rules out aren't shuffled."""
+    gone = save(gone)
+    rows = mark_members(marked.select("row", "r"), F.col("r"), gone, "maybe")
+    stay = rows.where("maybe").join(gone.hint("shuffle_hash"), "r", "left_anti").select("row")
+    return unpacked(rows.where("not maybe").select("row").unionByName(stay), docs)
+
+
+def _losers(members: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """r of all members but the first by order of each group. Minima are taken in each task before the shuffle, so a large group is none there."""
+    first = members.groupBy(group).agg(F.min(F.struct(*order, "r")).alias("f")).select(group, F.col("f.r").alias("first"))
+    return members.select(group, "r").join(first, group).where("r != first").select("r")
+
+
 def drop_near_duplicates(docs: DataFrame, *, words: int = 3, budget: int = 2, max_task: int = 100_000) -> DataFrame:
-    """docs with one row of each near-duplicate group, that of its smallest doc_id (null last, then fingerprint). Columns stay."""
-    marked = save(with_fingerprint(docs, words, "_fp").withColumn("_key", key_of(F.col("doc_id"))))
-    own = marked.select("doc_id", F.col("_fp").alias("fp"))
-    of_fp = fingerprint_roots(own, budget, max_task)
-    # One (id, fingerprint) for each root: grouping keeps the minimum on the way, whatever the size of a group.
-    members = own.select(key_of(F.col("doc_id")).alias("_key"), F.col("fp").alias("_fp")).join(of_fp.select(F.col("fp").alias("_fp"), "root"), "_fp")
-    keep = members.groupBy("root").agg(F.min(F.struct("_key", "_fp")).alias("r")).select("r._key", "r._fp").withColumn("_kept", F.lit(True))
-    rows = marked.join(keep.hint("shuffle_hash"), ["_key", "_fp"], "left_semi")
-    # Only rows that repeat an id and a fingerprint meet in a window here.
-    order = Window.partitionBy("_key", "_fp").orderBy(F.xxhash64("text"))
-    return rows.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    """docs with one row of each near-duplicate group, that of its smallest doc_id (null last, then by the text's hash). Columns stay, whatever their names."""
+
+    @F.pandas_udf("fp long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)})
+
+    marked = _sketched(docs, run)
+    of_fp = fingerprint_roots(marked.select(F.col("key").alias("doc_id"), "fp"), budget, max_task)
+    members = marked.select("key", "h", "r", "fp").join(of_fp.select("fp", "root"), "fp")
+    return _without(marked, _losers(members, "root", ["key", "fp", "h"]), docs)
 
 
 def shingles(data: bytes, words: int) -> set[bytes]:
@@ -389,8 +409,9 @@ def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of pairs (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "first"), "sig")
-    texts = save(ends.join(marked.select(F.col("_row").alias("first"), raw(F.col("text")).alias("text")), "first").select("sig", "text"))
+    ends = save(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "first"), "sig"))
+    rows = mark_members(marked.select("r", raw(F.col("row.text")).alias("text")), F.col("r"), ends.select("first"), "maybe").where("maybe")
+    texts = save(ends.join(rows, F.col("first") == F.col("r")).select("sig", "text"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,15 +428,16 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int
 
 
 def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget: int, max_task: int, nearest: int = 2) -> DataFrame:
-    """marked: _row, _sig, _fp, _more, _n, text. Returns sig, root: the component of each distinct shingle set.
+    """marked: r, sig, fp, more, n, row.text. Returns sig, root: the component of each distinct shingle set that is linked to another.
 
     A round confirms the `nearest` candidates of each set that are in other components. A pair that a round leaves out
     has more candidates than that at both ends, so only such sets go on, with more candidates each, until none is left out.
     """
-    nodes = save(marked.groupBy(F.col("_sig").alias("sig")).agg(F.first("_fp").alias("fp"), F.first("_more").alias("more"), F.first("_n").alias("n"), F.min("_row").alias("first")))
+    nodes = save(marked.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n"), F.min("r").alias("first")))
     n = nodes.count()
-    left, roots = nodes.withColumn("comp", F.col("sig")), nodes.select("sig", F.col("sig").alias("root"))
-    links, tried = None, None
+    left = nodes.withColumn("comp", F.col("sig"))
+    linked = nodes.select(F.col("sig").alias("node"), F.col("sig").alias("root")).where("false")
+    tried = None
     while True:
         found = _candidates(left, n, similarity, budget, nearest + 1, max_task)
         order = Window.partitionBy("x").orderBy("err", "y")
@@ -424,22 +446,22 @@ def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget:
         pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = save(_confirmed(pairs, nodes, marked, words, similarity))
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            linked = components(links)
-            roots = save(nodes.select("sig").join(linked, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("root", "sig").alias("root")))
+        if not new.isEmpty():  # the components so far, as stars, stand for all links so far
+            linked = components(new.unionByName(linked.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
         more = ranked.where(F.col("rank") > nearest).select(F.col("x").alias("sig")).distinct()
         if more.isEmpty():
-            return roots
-        left = save(nodes.join(more, "sig", "left_semi").join(roots.withColumnRenamed("root", "comp"), "sig"))
+            return linked.select(F.col("node").alias("sig"), "root")
+        left = nodes.join(more, "sig", "left_semi").join(linked, F.col("sig") == F.col("node"), "left")
+        left = save(left.select("sig", "fp", "more", "n", "first", F.coalesce("root", "sig").alias("comp")))
         nearest *= 4
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, budget: int = 16, max_task: int = 20_000) -> DataFrame:
-    """docs with one row of each group of near copies, that of its smallest doc_id (null last). Columns stay.
+    """docs with one row of each group of near copies, that of its smallest doc_id (null last). Columns stay, whatever their names.
 
     Near copies: texts whose sets of word shingles have a Jaccard similarity of `similarity` or more, and what they link to.
-    Candidates differ in `budget` or fewer of the 64 bits of their SimHash; each link is confirmed by the sets.
+    Candidates differ in `budget` or fewer of the 64 bits of their SimHash; each link is confirmed by the sets. Texts without
+    words, null ones included, are copies of each other.
     """
 
     @F.pandas_udf("sig long, fp long, more long, n long")
@@ -447,9 +469,7 @@ def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8
         own = np.array([_sketch(x, words) for x in texts], np.uint64).reshape(-1, 4).view(np.int64)
         return pd.DataFrame(own, columns=["sig", "fp", "more", "n"])
 
-    sketch = docs.withColumn("_s", run(raw(F.col("text")))).withColumn("_key", key_of(F.col("doc_id"))).withColumn("_row", F.monotonically_increasing_id())
-    marked = save(sketch.select(*docs.columns, "_key", "_row", *[F.col(f"_s.{c}").alias(f"_{c}") for c in ("sig", "fp", "more", "n")]))
+    marked = _sketched(docs, run)
     roots = near_copy_roots(marked, words=words, similarity=similarity, budget=budget, max_task=max_task)
-    members = marked.select("_key", "_row", F.col("_sig").alias("sig"), F.xxhash64("text").alias("_h")).join(roots, "sig")
-    keep = members.groupBy("root").agg(F.min(F.struct("_key", "sig", "_h", "_row")).alias("r")).select("r._row")
-    return marked.join(keep.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    members = marked.select("key", "h", "r", "sig").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return _without(marked, _losers(members, "root", ["key", "sig", "h"]), docs)

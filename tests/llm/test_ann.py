@@ -30,7 +30,7 @@ def test_recall_over_shards(spark):
     rng = np.random.default_rng(1)
     rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 24)))]
     want = brute(rows, 10, 5)
-    got = found(spark, rows, every=10, shard_rows=400, ef_search=64)
+    got = found(spark, rows, every=10, shard_bytes=400 * (8 * 24 + 12 * 16), ef_search=64)
     assert set(got) == set(want)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.95 * 5 * len(want)
@@ -40,6 +40,23 @@ def test_recall_over_shards(spark):
             assert s == pytest.approx(x @ y / np.linalg.norm(x) / np.linalg.norm(y), abs=1e-12)
 
 
+def test_recall_at_production_parameters(spark):
+    """The 10,256 vectors of check_h in one shard, against brute force."""
+    import os
+
+    path = "/root/testdata/check_h/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no check_h")
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(path).select("vec_id", "embedding").collect()]
+    want = brute(rows, 50, 5)
+    got = {}
+    for r in ann.nearest(spark.read.parquet(path)).collect():
+        got.setdefault(r.query_id, []).append(round(r.score, 9))
+    # By score, as copies tie: found are those at least as near as the fifth.
+    hits = sum(sum(s >= round(want[q][-1][1], 9) - 1e-9 for s in got[q]) for q in want)
+    assert set(got) == set(want) and hits >= 0.95 * sum(map(len, want.values()))
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(2)
     common = rng.normal(size=8).tolist()

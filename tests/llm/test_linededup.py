@@ -33,8 +33,39 @@ def test_against_plain(spark):
     pool += ["  Padded line HERE\t", "padded LINE here", "\x0b\x0cpadded line here\r", "ÀÉ padded line", "àé padded line", "ñ" * 9, "ñ" * 10, "", " "]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(150)] + [(1000, None)]
     check(spark, rows)
-    # A filter that overflows only makes more suspects.
-    check(spark, rows, bits=1 << 16)
+    # A filter that overflows only makes more suspects; ranges of digests add up.
+    check(spark, rows, max_bits=1 << 16, max_ranges=1)
+    check(spark, rows, max_bits=1 << 16)
+
+
+def test_ranges(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "filter_size", lambda *_: (1 << 16, 3))
+    rng = random.Random(7)
+    pool = [f"a line of number {i}" for i in range(60)]
+    check(spark, [(i, "\n".join(rng.choice(pool) for _ in range(6))) for i in range(80)])
+
+
+def test_filter_size(spark):
+    docs = spark.createDataFrame([("a\nb",), (None,), ("c" * 50,)], "text string")
+    assert linededup.filter_size(docs, 1 << 20, 4) == (1 << 16, 1)
+    many = spark.range(1).selectExpr("repeat('x\\n', 300000) AS text")
+    assert linededup.filter_size(many, 1 << 20, 4) == (1 << 20, 4) and linededup.filter_size(many, 1 << 29, 4) == (1 << 23, 1)
+
+
+def test_only_losers_are_shuffled(spark):
+    """Most texts lose nothing: the filter of losers rules them out."""
+    rows = [(i, f"own line of number {i}\n" + ("the line that two hold" if i in (3, 50) else "")) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    from rowkeel.llm.common import mark_members
+
+    keys = spark.createDataFrame([(i,) for i in range(0, 4000, 100)], "k long")
+    marked = mark_members(spark.range(4000), F.col("id"), keys, "hit").collect()
+    assert all(r.hit for r in marked if r.id % 100 == 0) and sum(r.hit for r in marked) < 400
+    none = mark_members(spark.range(10), F.col("id"), keys.where("false"), "hit").collect()
+    assert len(none) == 10 and not any(r.hit for r in none)
+    assert {r.doc_id for r in linededup.dedup_lines(df).where("n_dropped > 0").collect()} == {50}
 
 
 def test_packed_parts():

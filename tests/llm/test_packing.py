@@ -20,6 +20,16 @@ def test_tokens_equal_the_tokenizer():
     assert own.encode(texts) == want and own.encode(texts) == want  # the second time from the caches
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    assert packing.WordTokens(tokenizer_path()).by_chunk
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, whole = packing.WordTokens(path), tokenizers.Tokenizer.from_file(path)
+    assert not own.by_chunk
+    assert own.encode(ODD) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ODD]
+
+
 def test_fullest():
     rng = random.Random(2)
     for _ in range(100):

@@ -17,12 +17,12 @@ from rowkeel.llm.queries import quality_crf, table, tokenizer_path
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the line labels reject go."""
     crf = quality_crf(docs, table(spark, sf_dir, "labels"))
-    return qualityrules.assess(docs, crf).where("kept").select(*docs.columns)
+    return qualityrules.keep_good(docs, crf)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay in their first document only; n_chars follows the text."""
-    out = linededup.dedup_lines(docs).select(*docs.columns)
+    out = linededup.drop_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

@@ -34,7 +34,7 @@ GROUPS = {"words": 8, "symbols": 6, "pipes": 4, "upper": 5, "digits": 4, "exclai
 # Words that are common in menus, banners and footers, in lower case.
 CUES = frozenset(
     b"copyright rights reserved login logout register subscribe newsletter cookie cookies privacy policy terms conditions contact about home menu search share tweet follow facebook twitter instagram rss sitemap help faq "
-    b"imprint impressum datenschutz kontakt startseite anmelden accueil connexion mentions inicio contacto aviso advertisement sponsored related comments reply previous next back top skip click here read more sign up".split()
+    b"imprint impressum datenschutz kontakt startseite anmelden accueil connexion mentions inicio contacto aviso advertisement sponsored related comments reply previous next back top skip click here read more sign up welcome shop cart checkout account powered posted tags categories accept decline bienvenue bienvenido willkommen".split()
 )
 # Usual menus, banners and footers, for documents that are put together. {} is a number.
 BOILERPLATE = (

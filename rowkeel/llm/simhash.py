@@ -365,9 +365,10 @@ def _best(x: np.ndarray, y: np.ndarray, err: np.ndarray, upto: int) -> tuple[np.
     return x[rank < upto], y[rank < upto], err[rank < upto]
 
 
-def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto: int, max_task: int) -> DataFrame:
-    """nodes: sig, fp, more, n, comp. Returns x, y, err: for each sig the `upto` nearest at least, of other components, that the tries find."""
+def _permuted(nodes: DataFrame, n: int, budget: int, max_task: int) -> tuple[DataFrame, np.ndarray]:
+    """nodes: fp and others. The node pairs of all tries for n fingerprints, with f the permuted fingerprint, and the mask of the bits that each trie's subtrees share."""
     bits, order = _tries(n)
+    rest = nodes.columns
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -377,24 +378,40 @@ def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto:
                 own = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 for rot, turn in enumerate(order):
                     f = np.packbits(np.ascontiguousarray(own[:, turn]), axis=1, bitorder="little").view("<u8")[:, 0]
-                    rest = [part.column(c) for c in ("sig", "more", "n", "comp")]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), rot, np.int32)), pa.array(f.view(np.int64)), *rest], names=["rot", "f", "sig", "more", "n", "comp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), rot, np.int32)), pa.array(f.view(np.int64)), *part.columns], names=["rot", "f", *rest])
 
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
     a = F.shiftrightunsigned(F.col("f"), 64 - bits)
-    tries = nodes.select("fp", "sig", "more", "n", "comp").mapInArrow(permute, "rot int, f long, sig long, more long, n long, comp long")
-    pairs = _split_hot(tries.select("rot", F.lit(bits).alias("depth"), a.alias("a"), a.alias("b"), "f", "sig", "more", "n", "comp"), budget, max_task)
+    tries = nodes.mapInArrow(permute, f"rot int, f long, {kinds}")
+    pairs = _split_hot(tries.select("rot", F.lit(bits).alias("depth"), a.alias("a"), a.alias("b"), "f", *rest), budget, max_task)
+    masks = np.array([sum(1 << int(t) for t in turn[64 - bits :]) for turn in order], np.uint64)
+    keys = ["rot", "depth", "a", "b"]
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "f"), masks
+
+
+def _first_met(x: np.ndarray, rot: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether no trie before rot has both fingerprints, which differ in the bits x, in one subtree: each pair is taken once."""
+    out = np.ones(len(x), bool)
+    for s, mask in enumerate(masks[:-1]):
+        out &= (rot <= s) | ((x & mask) != 0)
+    return out
+
+
+def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto: int, max_task: int) -> DataFrame:
+    """nodes: sig, fp, more, n. Returns x, y, err: for each sig the `upto` nearest at least that the tries find, each pair both ways."""
+    pairs, masks = _permuted(nodes.select("sig", "fp", "more", "n"), n, budget, max_task)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_tasks(batches):
-            sig, size, comp = (rows[c] for c in ("sig", "n", "comp"))
-            f, more = (rows[c].astype(np.int64).view(np.uint64) for c in ("f", "more"))
+            sig, size, rot = (rows[c] for c in ("sig", "n", "rot"))
+            fp, more = (rows[c].astype(np.int64).view(np.uint64) for c in ("fp", "more"))
             held, waiting = [], 0
             for i, j in _near_pairs(rows, budget):
-                low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                on = (comp[i] != comp[j]) & (low >= similarity * high)
+                on = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
                 i, j = i[on], j[on]
-                err = np.bitwise_count(f[i] ^ f[j]).astype(np.int32) + np.bitwise_count(more[i] ^ more[j])
-                i, j, err = (x[err <= 2 * budget] for x in (i, j, err))
+                err = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32) + np.bitwise_count(more[i] ^ more[j])
+                on = (err <= 2 * budget) & _first_met(fp[i] ^ fp[j], rot[i], masks)
+                i, j, err = (x[on] for x in (i, j, err))
                 held.append((np.r_[i, j], np.r_[j, i], np.r_[err, err]))
                 waiting += len(i)
                 if waiting > 1 << 20:  # bound what is held to the nearest of each
@@ -403,8 +420,79 @@ def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto:
                 x, y, err = _best(*(np.concatenate(x) for x in zip(*held)), upto)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[x]), pa.array(sig[y]), pa.array(err.astype(np.int32))], names=["x", "y", "err"])
 
-    keys = ["rot", "depth", "a", "b"]
-    return pairs.repartition(*keys).sortWithinPartitions(*keys, "f").mapInArrow(run, "x long, y long, err int").groupBy("x", "y").agg(F.min("err").alias("err"))
+    return pairs.mapInArrow(run, "x long, y long, err int")
+
+
+_SKETCH = 2048  # bits of a set's sketch by minima
+
+
+def _set_sketch(h: np.ndarray) -> bytes:
+    """One bit of the minimum of h under each of _SKETCH hashes: sets of similarity J agree in (1 + J) / 2 of them."""
+    odd = np.random.default_rng(77).integers(0, 1 << 63, _SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+    low = np.full(_SKETCH, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 256):
+        low = np.minimum(low, (h[at : at + 256, None] * odd).min(axis=0))
+    return np.packbits((low >> np.uint64(31)) & np.uint64(1) > 0).tobytes()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def _crowded_links(left: DataFrame, marked: DataFrame, words: int, similarity: float, budget: int, max_task: int) -> DataFrame:
+    """left: sig, fp, first, comp of the sets with many candidates. Returns src, dst: a forest of the links between their components.
+
+    Here the sets themselves (32-bit hashes) go down the tries, so that all pairs are judged where they meet and only
+    links leave a task. A sketch by minima sifts before: with four deviations, it loses a pair of exactly `similarity` in 30,000.
+    """
+    rows = mark_members(marked.select("r", raw(F.col("row.text")).alias("text")), F.col("r"), left.select("first"), "maybe").where("maybe")
+
+    @F.pandas_udf("set array<int>, sketch binary")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in texts:
+            h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles(x, words)), np.uint64))
+            out.append((np.unique(h.astype(np.uint32)).view(np.int32), _set_sketch(h)))
+        return pd.DataFrame(out, columns=["set", "sketch"])
+
+    own = save(left.join(rows, F.col("first") == F.col("r")).select("sig", "fp", "comp", sets("text").alias("s")).select("sig", "fp", "comp", "s.*"))
+    pairs, masks = _permuted(own, own.count(), budget, max_task)
+    share = (1 + similarity) / 2
+    least = _SKETCH * share - 4 * (_SKETCH * share * (1 - share)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_tasks(batches):
+            sig, comp, rot, sets = (rows[c] for c in ("sig", "comp", "rot", "set"))
+            fp = rows["fp"].astype(np.int64).view(np.uint64)
+            size = np.array([len(x) for x in sets])
+            sketch = np.stack([np.frombuffer(bytes(x), np.uint64) for x in rows["sketch"]])
+            low: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := low.get(c, c)) != c:
+                    low[c] = c = low.get(up, up)
+                return c
+
+            links = []
+            for i, j in _near_pairs(rows, budget):
+                on = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                i, j = i[on], j[on]
+                on = _first_met(fp[i] ^ fp[j], rot[i], masks)
+                i, j = i[on], j[on]
+                for k in range(0, len(i), 1 << 15):
+                    x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                    same = _SKETCH - np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+                    near = np.flatnonzero(same >= least)
+                    for p in near[np.argsort(-same[near], kind="stable")].tolist():
+                        u, v = root(int(comp[x[p]])), root(int(comp[y[p]]))
+                        if u != v and _alike(sets[x[p]], sets[y[p]], similarity):
+                            low[max(u, v)] = min(u, v)
+                            links.append((int(sig[x[p]]), int(sig[y[p]])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["src", "dst"])
+
+    return pairs.mapInArrow(run, "src long, dst long")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -430,30 +518,23 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int
 def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget: int, max_task: int, nearest: int = 2) -> DataFrame:
     """marked: r, sig, fp, more, n, row.text. Returns sig, root: the component of each distinct shingle set that is linked to another.
 
-    A round confirms the `nearest` candidates of each set that are in other components. A pair that a round leaves out
-    has more candidates than that at both ends, so only such sets go on, with more candidates each, until none is left out.
+    The `nearest` candidates of each set are confirmed by the texts. A pair that this leaves out has more candidates than that
+    at both ends: such sets, those of large groups of near copies, are then judged among themselves.
     """
     nodes = save(marked.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n"), F.min("r").alias("first")))
-    n = nodes.count()
-    left = nodes.withColumn("comp", F.col("sig"))
-    linked = nodes.select(F.col("sig").alias("node"), F.col("sig").alias("root")).where("false")
-    tried = None
-    while True:
-        found = _candidates(left, n, similarity, budget, nearest + 1, max_task)
-        order = Window.partitionBy("x").orderBy("err", "y")
-        ranked = save(found.withColumn("rank", F.row_number().over(order)))
-        pairs = ranked.where(F.col("rank") <= nearest).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = save(_confirmed(pairs, nodes, marked, words, similarity))
+    found = _candidates(nodes, nodes.count(), similarity, budget, nearest + 1, max_task)
+    ranked = save(found.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("err", "y"))))
+    pairs = ranked.where(F.col("rank") <= nearest).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = save(_confirmed(save(pairs), nodes, marked, words, similarity))
+    linked = components(links)
+    more = ranked.where(F.col("rank") > nearest).select(F.col("x").alias("sig")).distinct()
+    if not more.isEmpty():
+        left = nodes.join(more, "sig", "left_semi").join(linked, F.col("sig") == F.col("node"), "left")
+        left = save(left.select("sig", "fp", "first", F.coalesce("root", "sig").alias("comp")))
+        new = save(_crowded_links(left, marked, words, similarity, budget, max_task))
         if not new.isEmpty():  # the components so far, as stars, stand for all links so far
             linked = components(new.unionByName(linked.select(F.col("node").alias("src"), F.col("root").alias("dst"))))
-        more = ranked.where(F.col("rank") > nearest).select(F.col("x").alias("sig")).distinct()
-        if more.isEmpty():
-            return linked.select(F.col("node").alias("sig"), "root")
-        left = nodes.join(more, "sig", "left_semi").join(linked, F.col("sig") == F.col("node"), "left")
-        left = save(left.select("sig", "fp", "more", "n", "first", F.coalesce("root", "sig").alias("comp")))
-        nearest *= 4
+    return linked.select(F.col("node").alias("sig"), "root")
 
 
 def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, budget: int = 16, max_task: int = 20_000) -> DataFrame:

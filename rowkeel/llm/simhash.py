@@ -309,7 +309,8 @@ def _without(marked: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _losers(members: DataFrame, group: str, order: list[str]) -> DataFrame:
     """r of all members but the first by order of each group. Minima are taken in each task before the shuffle, so a large group is none there."""
-    first = members.groupBy(group).agg(F.min(F.struct(*order, "r")).alias("f")).select(group, F.col("f.r").alias("first"))
+    # Written, so that the join has shuffles of its own, of which Spark can split one that a single group fills.
+    first = save(members.groupBy(group).agg(F.min(F.struct(*order, "r")).alias("f")).select(group, F.col("f.r").alias("first")))
     return members.select(group, "r").join(first, group).where("r != first").select("r")
 
 

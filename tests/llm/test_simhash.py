@@ -142,8 +142,13 @@ def near_copies(rng, n):
     return out
 
 
+def shingle_set(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def jaccard(a, b):
-    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    a, b = shingle_set(a), shingle_set(b)
     return len(a & b) / len(a | b)
 
 
@@ -166,6 +171,37 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == {0, 500}
 
 
+def test_crowded_group_against_all_pairs(spark):
+    """Edited copies of one text, of which few are similar enough: all have more candidates than are confirmed by text."""
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited():
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randint(0, 8)):
+            words[at] = f"n{rng.randrange(9999)}"
+        return " ".join(words)
+
+    texts = [edited() for _ in range(160)]
+    low = list(range(len(texts)))
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                low[y] = x
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = {i for i in range(len(texts)) if root(i) == i}
+    assert 5 < len(want) < 150
+    for options in ({}, {"max_task": 300}):
+        assert {r.doc_id for r in simhash.drop_near_copies(docs, **options).collect()} == want
+
+
 def test_near_copies_odd(spark, odd_docs, no_docs):
     out = simhash.drop_near_copies(odd_docs)
     assert out.columns == odd_docs.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 4, 5, 6, 8]

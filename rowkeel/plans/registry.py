@@ -14,6 +14,8 @@ from ..functions import is_missing, percent, qualified_name, status
 from ..operators.cardinality import declared_violations
 from ..rules import FkRule, NullMeaning, parse_cardinality_rules, parse_fk_rules
 from ..sources.parquet_dir import TEST_TABLES, load_directory
+from ..sources.workbook import load_workbooks, sheet_names
+from ..sources.workbook_sink import sheet_rows, write_workbook
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,11 +126,13 @@ def fk_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole doubles meet integers; text keys meet neither."""
+    """Whole doubles meet integers, also from 10**15 on; text keys meet neither."""
     t = _tables(spark, sf_dir, "orders", "customer")
-    o = t.require("orders").select(F.col("o_custkey").cast("double").alias("as_double"), F.col("o_custkey").cast("string").alias("as_text"))
+    big = F.lit(10**15).cast("long")
+    o = t.require("orders").select(F.col("o_custkey").cast("double").alias("as_double"), F.col("o_custkey").cast("string").alias("as_text"), (F.col("o_custkey") * big).cast("double").alias("as_big"))
     t.register("orders_cast", o)
-    rules = parse_fk_rules("M01 orders_cast.as_double -> customer.c_custkey\nM02 orders_cast.as_text -> customer.c_custkey")
+    t.register("customer_big", t.require("customer").where("c_custkey % 3 != 0").select((F.col("c_custkey") * big).alias("c_big")))
+    rules = parse_fk_rules("M01 orders_cast.as_double -> customer.c_custkey\nM02 orders_cast.as_text -> customer.c_custkey\nM03 orders_cast.as_big -> customer_big.c_big")
     return ops.fk_check(t, rules).select(*_FK)
 
 
@@ -158,8 +162,42 @@ def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _tables(spark, sf_dir, "part").require("part")
-    return p.where(F.lower("p_name").contains("ring") | F.col("p_name").contains("bolt")).select("p_partkey", "p_name")
+    """The table sheets of a workbook that has a sheet for each nation, some of them named as summaries."""
+    names = [(r.n_nationkey, r.n_name) for r in _tables(spark, sf_dir, "nation").require("nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
+    marks = {0: "Résumé ", 1: "📋 ", 2: "My RESUME "}
+    path = write_workbook(spark, {marks.get(k % 5, "") + n: [["x"]] for k, n in names})
+    return spark.createDataFrame([(n,) for n in sheet_names(spark, path)], "sheet string")
+
+
+def _book(spark: SparkSession, sf_dir: str) -> TableCatalog:
+    """nation and region, read back from a workbook with summaries and banners."""
+    t = _tables(spark, sf_dir, "nation", "region")
+    nation = t.require("nation").withColumn("n_name", F.when(F.col("n_nationkey") % 7 == 3, "N/A").otherwise(F.col("n_name")))
+    sheets = {"📋 Overview": [["summary"]], "nation": sheet_rows(nation, "All nations"), "Résumé": [["summary"]], "region": sheet_rows(t.require("region").where("r_regionkey != 2"), "Some regions")}
+    return load_workbooks(spark, {"TPC": write_workbook(spark, sheets)})
+
+
+def workbook_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.table_inventory(_book(spark, sf_dir)).drop("ordinal")
+
+
+def workbook_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.null_profile(_book(spark, sf_dir), all_columns=True).select("table_name", "column_name", "n_null", "n_rows", "pct_null")
+
+
+def workbook_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.fk_check(_book(spark, sf_dir), [FkRule("W01", "TPC/nation", "n_regionkey", "TPC/region", "r_regionkey")]).select(*_FK)
+
+
+def fk_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose child lacks the column are left out, the rest stand."""
+    rules = [FK_RULES[0], FkRule("X01", "nation", "no_such_column", "region", "r_regionkey"), FK_RULES[1]]
+    return ops.fk_check(_tables(spark, sf_dir, "nation", "region", "customer"), rules).select(*_FK)
+
+
+def cardinality_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules with a table missing are left out, the rest stand."""
+    return ops.cardinality_profile(_tables(spark, sf_dir, "region", "nation"), CARDINALITY_RULES[:3]).drop("ordinal")
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +255,11 @@ _ALL: tuple[Query, ...] = (
     qualified_names,
     status_flag,
     half_even_percent,
+    workbook_inventory,
+    workbook_nulls,
+    workbook_fk,
+    fk_missing_column,
+    cardinality_missing_table,
 )
 
 
@@ -260,20 +303,25 @@ _OUTER = "(SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents L
 _ORPHANS = "SELECT DISTINCT l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'F' AND o_orderkey = l_orderkey)"
 
 
-def _cardinality_sql() -> str:
+def _cardinality_sql(rules=CARDINALITY_RULES) -> str:
     each = [
         f"SELECT '{r.rule_id}' AS rule_id, '{r.parent_table}.{r.parent_column}' AS parent, '{r.declared}' AS declared, '{r.child_table}.{r.child_column}' AS child, "
         f"(SELECT count(DISTINCT {r.parent_column}) FROM {r.parent_table}) AS n_parents, avg(n) AS avg_children, min(n) AS min_children, max(n) AS max_children "
         f"FROM (SELECT count(*) AS n FROM {r.child_table} WHERE {r.child_column} IS NOT NULL GROUP BY {r.child_column})"
-        for r in CARDINALITY_RULES
+        for r in rules
     ]
     return " UNION ALL ".join(each)
 
 
 def oracle_sql() -> dict[str, str]:
     outer_nulls = _null_sql("documents_labels", _OUTER, "doc_id lang source n_chars quality toxic")
-    mixed = [FkRule("M01", "orders_cast", "as_double", "customer", "c_custkey"), FkRule("M02", "orders_cast", "as_text", "customer", "c_custkey")]
-    casts = "WITH orders_cast AS (SELECT o_custkey::DOUBLE AS as_double, 's:' || o_custkey AS as_text FROM orders) "
+    mixed = [FkRule("M01", "orders_cast", "as_double", "customer", "c_custkey"), FkRule("M02", "orders_cast", "as_text", "customer", "c_custkey"), FkRule("M03", "orders_cast", "as_big", "customer_big", "c_big")]
+    casts = (
+        "WITH orders_cast AS (SELECT o_custkey::DOUBLE AS as_double, 's:' || o_custkey AS as_text, (o_custkey * 1000000000000000)::BIGINT AS as_big FROM orders), "
+        "customer_big AS (SELECT c_custkey * 1000000000000000 AS c_big FROM customer WHERE c_custkey % 3 <> 0) "
+    )
+    book = FkRule("W01", "nation", "n_regionkey", "region", "r_regionkey")
+    nations = "(SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN n_name END AS n_name, n_regionkey FROM nation)"
     return {
         "table_inventory": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, {_WIDTHS[t]}::BIGINT AS n_cols FROM {t}" for t in TEST_TABLES),
         "null_profile_full": " UNION ALL ".join(_null_sql(t, t, _COLUMNS[t], only=False) for t in ("nation", "customer", "supplier", "part", "orders", "events")),
@@ -288,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "fk_orphan_keys": _ORPHANS,
         "fk_orphan_rows": f"SELECT l_returnflag, count(*) AS n_rows FROM lineitem WHERE l_orderkey IN ({_ORPHANS}) GROUP BY 1",
         "fk_except": "SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'F'",
-        "fk_mixed_types": casts + _with_status(_fk_sql(mixed[0]), _fk_sql(mixed[1], "(SELECT 'n:' || c_custkey AS c_custkey FROM customer)")),
+        "fk_mixed_types": casts + _with_status(_fk_sql(mixed[0]), _fk_sql(mixed[1], "(SELECT 'n:' || c_custkey AS c_custkey FROM customer)"), _fk_sql(mixed[2])),
         "cardinality_profile": _cardinality_sql(),
         "cardinality_childless": "SELECT 'E17' AS rule_id, (SELECT count(*) FROM orders) AS n_parents, avg(n) AS avg_children, min(n) AS min_children, max(n) AS max_children, "
         "(SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) AS n_childless FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
@@ -296,7 +344,12 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'V02' AS rule_id, count(*) FILTER (WHERE n > 1) AS repeated_parents FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
         "group_sizes": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1",
         "distinct_keys": "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL",
-        "sheet_filter": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(p_name, 'bolt')",
+        "sheet_filter": "SELECT n_name AS sheet FROM nation WHERE n_nationkey % 5 >= 3",
+        "workbook_inventory": "SELECT 'TPC/nation' AS table_name, count(*) AS n_rows, 3::BIGINT AS n_cols FROM nation UNION ALL SELECT 'TPC/region', count(*), 2 FROM region WHERE r_regionkey <> 2",
+        "workbook_nulls": _null_sql("TPC/nation", nations, _COLUMNS["nation"], only=False) + " UNION ALL " + _null_sql("TPC/region", "(SELECT * FROM region WHERE r_regionkey <> 2)", _COLUMNS["region"], only=False),
+        "workbook_fk": _with_status(_fk_sql(book, "(SELECT * FROM region WHERE r_regionkey <> 2)").replace("'nation.", "'TPC/nation.").replace("'region.", "'TPC/region.")),
+        "fk_missing_column": _with_status(*map(_fk_sql, FK_RULES[:2])),
+        "cardinality_missing_table": _cardinality_sql(CARDINALITY_RULES[:1]),
         "text_functions": "SELECT n_nationkey, lower(n_name) AS low, contains(n_name, 'A') AS has_a, rpad(n_name, 45, ' ') AS padded, lpad(n_nationkey::VARCHAR, 5, ' ') AS \"right\" FROM nation",
         "qualified_names": "SELECT 'nation.' || n_name AS qualified FROM nation",
         "status_flag": "SELECT rule_id, orphans = 0 AS ok, status FROM (" + _with_status(*map(_fk_sql, FK_RULES), _fk_sql(PARTIAL, _ORDERS_F)) + ")",

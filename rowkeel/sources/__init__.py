@@ -2,5 +2,6 @@
 
 from .parquet_dir import load_directory
 from .workbook import load_workbooks, read_sheet, sheet_names
+from .workbook_sink import write_workbook
 
-__all__ = ["load_directory", "load_workbooks", "read_sheet", "sheet_names"]
+__all__ = ["load_directory", "load_workbooks", "read_sheet", "sheet_names", "write_workbook"]

@@ -226,8 +226,8 @@ def find(text: str) -> dict[str, list[Span]]:
         if span:
             out[kind].append(span)
 
-    # Anchors are found in the text with A-Z lower-cased, which keeps every place.
-    for last, (what, size) in automaton().iter(text.lower() if text.isascii() else text.translate(_FOLD)):
+    # Anchors are found in lower case. Two letters would move places or become ASCII: with them, only A-Z is lower-cased.
+    for last, (what, size) in automaton().iter(text.translate(_FOLD) if "\u0130" in text or "\u212a" in text else text.lower()):
         at = last - size + 1
         if what == "digits":
             add("card", card.parse(text, at))

@@ -237,7 +237,9 @@ def pack(docs: DataFrame, tokenizer: str, *, max_len: int = 2048, end_id: int =
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     lanes = docs.sparkSession.sparkContext.broadcast(_lanes(pack_lengths(totals, max_len)))  # max_len runs of 63 distinct lengths at most
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "part", "base")
+    starts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # A row for each part, of max_len entries at most: small inputs broadcast it, large ones meet on part, which no hot length skews.
+    bases = starts.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,5 +256,6 @@ def pack(docs: DataFrame, tokenizer: str, *, max_len: int = 2048, end_id: int =
             keep = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = pieces.join(starts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local")).alias("rank"))
+    rank = F.element_at("bases", F.col("length")) + F.col("local")
+    ranked = pieces.join(bases, "part").select("doc_id", "piece", "start", "length", "ids_crc32", rank.alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -2,8 +2,9 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). A flow network
 routes each pattern's token capacity to the sources' quotas; the r-th pass over a pattern costs more
-than the one before (convex repetition cost), so fresh text is always used before repeats. Only the
-pattern totals reach the driver, and their number is checked against `max_patterns`. The documents
+than the one before (convex repetition cost), so fresh text is always used before repeats. Only
+pattern totals reach the driver, at most `max_patterns`. With more, a source that no overlap touches is planned on the
+executors, as its one pattern meets its one quota, and only overlapping ones reach the driver. The documents
 that make up each pattern's flow are then picked in seeded hash order on the executors: in buckets of hashes up to the one
 in which the flow ends, and one by one within that. Equal hashes (repeated rows) count as one group there, however many
 they are. Documents of all other buckets are decided where they stand, without a shuffle.
@@ -16,7 +17,7 @@ from collections import deque
 from collections.abc import Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -107,36 +108,118 @@ def _pattern(sources: Column) -> Column:
     return F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string"))))))
 
 
-def _decide(slim: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple[int, ...], max_repeats: int, max_patterns: int, per_bucket: int, payload: str) -> DataFrame:
-    """slim, written: payload, size, pattern, h, r (unique). Returns payload, size, pattern, repeats long, source_size long, target double."""
-    spark = slim.sparkSession
-    rows = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
-    if len(rows) > max_patterns:
-        raise ValueError(f"more than {max_patterns} distinct sets of sources")
+def _bits(rows: int, per_bucket: int) -> int:
+    """How many bits of the hash tell the buckets of so many rows apart."""
+    return min(20, max(0, (rows // per_bucket).bit_length()))
+
+
+_PLAN = "pattern string, n long, passes long, rest long, bits int, source_size long, target double"
+
+
+def _plan_few(rows: list[Row], size_of: Mapping[Source, int], targets: Mapping[Source, float], max_repeats: int, per_bucket: int) -> list[tuple]:
+    """Rows of _PLAN for patterns whose flow is solved together, on the driver."""
     sources = {r.pattern: tuple(json.loads(r.pattern)) for r in rows}
-    size_of: dict[Source, int] = {}
-    for r in rows:
-        for s in sources[r.pattern]:
-            size_of[s] = size_of.get(s, 0) + r["size"]
-    if quotas is None:
-        targets = fair_targets(size_of, cycling_weights(size_of, weights), max_repeats)
-    else:
-        targets = {s: float(q) for s, q in quotas.items()}
     flow = route({sources[r.pattern]: r["size"] for r in rows}, {s: round(t) for s, t in targets.items()}, max_repeats)
-
-    plan_rows = []
+    out = []
     for r in rows:
         members = sources[r.pattern]
         words = sum(flow[members].values())
         passes, rest = divmod(words, r["size"]) if r["size"] else (0, 0)
-        bits = min(20, max(0, (r["n"] // per_bucket).bit_length()))
         first = members[0] if members else None
-        plan_rows.append((r.pattern, passes, rest, bits, size_of.get(first, 0), targets.get(first, 0.0)))
-    plan = spark.createDataFrame(plan_rows, "pattern string, passes long, rest long, bits int, source_size long, target double")
+        out.append((r.pattern, r["n"], passes, rest, _bits(r["n"], per_bucket), size_of.get(first, 0), targets.get(first, 0.0)))
+    return out
+
+
+def _numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df, written, with i: each row's place in order from 0, without passing all rows through one task."""
+    rows = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("r", F.monotonically_increasing_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = rows.groupBy(F.shiftright("r", 33).alias("part")).agg(F.count("*").alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    met = rows.withColumn("part", F.shiftright("r", 33)).join(F.broadcast(starts), "part")
+    return met.select(*df.columns, (F.col("r") % 2**33 + F.col("start")).alias("i"))
+
+
+def _fair_table(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
+    """fair_targets() over cycling_weights() for a table (source, size) of any length: adds target. A round is one aggregate."""
+    order = F.col("source").isNull(), F.col("source")
+    own = save(_numbered(sizes, *order).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int"))))
+    most = F.col("size") * F.lit(float(cap))
+    everything = own.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, total, held = float(everything["size"] or 0), everything["weight"] or 0, 0
+    while total:
+        over = most < F.lit(left) * F.col("weight") / F.lit(total)
+        r = own.agg(F.count_if(over).alias("n"), F.sum(F.when(over, most)).alias("size"), F.sum(F.when(over, F.col("weight"))).alias("weight")).first()
+        if r["n"] == held:
+            break
+        left, total, held = everything["size"] - r["size"], everything["weight"] - r["weight"], r["n"]
+    fair = F.lit(left) * F.col("weight") / F.lit(total) if total else most
+    return own.select("source", "size", F.least(most, fair).alias("target"))
+
+
+def _plan_many(patterns: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple[int, ...], max_repeats: int, max_patterns: int, per_bucket: int) -> DataFrame:
+    """The plan for more patterns than the driver takes. A source that no overlap touches has a flow of its own: its one pattern meets its one quota."""
+    spark = patterns.sparkSession
+    own = patterns.withColumn("members", F.from_json("pattern", "array<string>"))
+    size_of = own.select(F.explode("members").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    if quotas is None:
+        sources = save(_fair_table(size_of, weights, max_repeats))
+    else:
+        given = spark.createDataFrame([(s, float(q)) for s, q in quotas.items()], "source string, target double")
+        sources = save(size_of.join(given, size_of.source.eqNullSafe(given.source), "left").select(size_of.source, "size", F.coalesce("target", F.lit(0.0)).alias("target")))
+    tied = save(own.where(F.size("members") > 1).select(F.explode("members").alias("tied")).distinct())
+    sources = sources.join(tied, sources.source.eqNullSafe(tied.tied), "left").select("source", F.col("size").alias("source_size"), "target", F.col("tied").isNotNull().alias("known"))
+    null_tied = not tied.where("tied is null").isEmpty()  # a null source is tied by a row that holds null
+    sources = save(sources.withColumn("known", F.when(F.col("source").isNull(), F.lit(null_tied)).otherwise(F.col("known"))))
+    first = F.when(F.size("members") > 0, F.get("members", F.lit(0)))
+    met = own.withColumn("first", first).join(sources, F.col("first").eqNullSafe(sources.source), "left")
+    together = (F.size("members") > 1) | F.coalesce("known", F.lit(False)) & (F.size("members") == 1)
+    rows = met.where(together).select("pattern", "size", "n").limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        raise ValueError(f"more than {max_patterns} distinct sets of sources overlap")
+    known = {r.source: r for r in sources.where("known").collect()}  # members of the rows above
+    targets = {s: r.target for s, r in known.items() if quotas is None or s in quotas}
+    solved = _plan_few(rows, {s: r.source_size for s, r in known.items()}, targets, max_repeats, per_bucket)
+    words = F.when(F.size("members") == 0, F.lit(0)).otherwise(F.least(F.rint("target").cast("long"), F.col("size") * max_repeats))
+    share = F.floor(F.col("n") / per_bucket).cast("long")
+    bits = F.when(share > 0, F.least(F.lit(20), F.length(F.bin(share)))).otherwise(F.lit(0))
+    parts = [F.expr("words div size"), F.expr("words % size")]
+    passes, rest = [F.when(F.col("size") > 0, x).otherwise(F.lit(0)).cast("long") for x in parts]
+    alone = met.where(~together).withColumn("words", words)
+    alone = alone.select("pattern", "n", passes.alias("passes"), rest.alias("rest"), bits.cast("int").alias("bits"), F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    return save(alone.unionByName(spark.createDataFrame(solved, _PLAN)))
+
+
+def _meet(rows: DataFrame, plan: DataFrame, hot_rows: int | None) -> DataFrame:
+    """rows joined with plan on pattern. A plan of max_patterns at most (no hot_rows) is broadcast; of a longer one, the few patterns of that many rows, so that none is hot in the shuffle of the rest."""
+    if hot_rows is None:
+        return rows.join(F.broadcast(plan.drop("n")), "pattern")
+    hot = plan.where(F.col("n") >= hot_rows).drop("n")
+    rest = rows.join(F.broadcast(hot.select("pattern")), "pattern", "left_anti").join(plan.where(F.col("n") < hot_rows).drop("n"), "pattern")
+    return rows.join(F.broadcast(hot), "pattern").unionByName(rest)
+
+
+def _decide(slim: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple[int, ...], max_repeats: int, max_patterns: int, per_bucket: int, payload: str) -> DataFrame:
+    """slim, written: payload, size, pattern, h, r (unique). Returns payload, size, pattern, repeats long, source_size long, target double."""
+    spark = slim.sparkSession
+    patterns = slim.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    rows = patterns.limit(max_patterns + 1).collect()
+    if len(rows) > max_patterns:
+        patterns = save(patterns)
+        plan = _plan_many(patterns, quotas, weights, max_repeats, max_patterns, per_bucket)
+        hot_rows = max(1, patterns.agg(F.sum("n")).first()[0] // 1000)  # 1,000 patterns can have as many
+    else:
+        size_of: dict[Source, int] = {}
+        for r in rows:
+            for s in json.loads(r.pattern):
+                size_of[s] = size_of.get(s, 0) + r["size"]
+        if quotas is None:
+            targets = fair_targets(size_of, cycling_weights(size_of, weights), max_repeats)
+        else:
+            targets = {s: float(q) for s, q in quotas.items()}
+        plan, hot_rows = spark.createDataFrame(_plan_few(rows, size_of, targets, max_repeats, per_bucket), _PLAN), None
 
-    # At most max_patterns rows: a proven bound for the broadcasts below.
     bucket = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)"))
-    dealt = slim.join(F.broadcast(plan), "pattern").withColumn("bucket", bucket)
+    dealt = _meet(slim, plan, hot_rows).withColumn("bucket", bucket)
     upto = Window.partitionBy("pattern").orderBy("bucket")
     edge = (
         dealt.groupBy("pattern", "bucket", "rest")
@@ -145,7 +228,7 @@ def _decide(slim: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple
         .where("upto > rest and upto - words <= rest")
         .select("pattern", F.col("bucket").alias("edge"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
     )
-    dealt = dealt.join(F.broadcast(edge), "pattern", "left")
+    dealt = _meet(dealt, plan.select("pattern", "n").join(edge, "pattern", "left"), hot_rows)
     clear = dealt.where("edge is null or bucket != edge").withColumn("extra", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
     on_edge = dealt.where("bucket = edge")
     met = on_edge.join(_edge_extras(on_edge), "r")
@@ -198,8 +281,8 @@ def mix(docs: DataFrame, quotas: Mapping[Source, int] | None = None, *, weights:
     size, sources, repeats long, taken long, source_size long and target double of the first source.
 
     Null size or sources count as 0 and as [null]; an empty array belongs nowhere and is not taken.
-    Repeated rows are separate documents. An empty table gives no rows. More than max_patterns
-    distinct source sets raise ValueError: the flow is solved on the driver. tie names a column that tells
+    Repeated rows are separate documents. An empty table gives no rows. Sources may be as many as rows; more than
+    max_patterns source sets that overlap raise ValueError: their flow is solved on the driver. tie names a column that tells
     documents of one id and size apart.
     """
     slim = save(docs.select(*_slim(F.col("doc_id"), F.col("doc_id"), F.col("size"), F.col("sources"), F.col(tie) if tie else F.lit(None).cast("long"), seed)))

@@ -81,8 +81,24 @@ def test_odd(spark, odd_docs, no_docs):
     out = mixing.repeat_documents(odd_docs)
     assert out.columns == odd_docs.columns and out.where("text is null or text = ''").count() == 0
     assert mixing.repeat_documents(no_docs).count() == 0
+    assert len(mixing.mix_documents(odd_docs, max_patterns=1).collect()) == len(got)
+
+
+def test_more_sources_than_the_driver_takes(spark):
+    """Plans made on the executors are those made on the driver, with empty and null sources, capped targets and overlaps."""
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([0, 3, 20, 50]), None if i % 11 == 0 else f"s{min(int(rng.expovariate(0.1)), 40)}") for i in range(1500)] + [(9000, "", "empty"), (9001, "w", "é"), (9002, "w w", "\U0001d4b3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "size", "source_size", "target", "repeats").collect()))
+    assert key(mixing.mix_documents(docs, max_patterns=3, per_bucket=8)) == key(mixing.mix_documents(docs, per_bucket=8))
+    assert key(mixing.mix_documents(docs.where("doc_id >= 9000"), max_patterns=1)) == key(mixing.mix_documents(docs.where("doc_id >= 9000")))
+    members = lambda i: rng.choice([["a", "b"], ["a"], ["b", None], [None], []]) if i % 2 else [f"s{i % 40}"]
+    own = spark.createDataFrame([(i, rng.randint(0, 9), members(i)) for i in range(900)], "doc_id long, size long, sources array<string>")
+    quotas = {"a": 700, "b": 500, None: 400, "unused": 9, **{f"s{n}": 40 * n for n in range(0, 40, 4)}}
+    many, few = (mixing.mix(own, quotas, max_patterns=n, per_bucket=8) for n in (5, 100))
+    assert key(many) == key(few)
     with pytest.raises(ValueError):
-        mixing.mix_documents(odd_docs, max_patterns=1)
+        mixing.mix(own, quotas, max_patterns=3)
 
 
 def test_repeats_are_rows(spark):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +33,46 @@ def save(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rowkeel-{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths that save() has written within the innermost scratch().
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives settle(df): saves df and then deletes every other table that save() wrote in this block, which nothing may read any more.
+
+    The last df settled outlives the block; all else goes at its end, also after a failure.
+    """
+    written: list[str] = []
+    last: list[str] = []
+
+    def clear() -> None:
+        for path in written:
+            if path not in last:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        written[:] = last
+
+    def settle(df: DataFrame) -> DataFrame:
+        out = save(df)
+        last[:] = written[-1:]
+        clear()
+        return out
+
+    token = _WRITTEN.set(written)
+    try:
+        yield settle
+    finally:
+        _WRITTEN.reset(token)
+        clear()
+
+
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

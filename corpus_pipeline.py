@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowkeel.llm import linededup, mixing, packing, qualityrules, simhash
-from rowkeel.llm.common import save
+from rowkeel.llm.common import scratch
 from rowkeel.llm.queries import quality_crf, table, tokenizer_path
 
 
@@ -54,8 +54,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage has read is deleted once its output is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+    with scratch(spark) as settle:
+        for _, stage in STAGES:
+            docs = settle(stage(spark, docs, sf_dir))
     return docs

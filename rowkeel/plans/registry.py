@@ -12,7 +12,8 @@ from .. import operators as ops
 from ..catalog import TableCatalog
 from ..functions import is_missing, percent, qualified_name, status
 from ..operators.cardinality import declared_violations
-from ..rules import FkRule, NullMeaning, parse_cardinality_rules, parse_fk_rules
+from ..report import cardinality_lines, fk_lines, inventory_lines, null_lines
+from ..rules import ENTERPRISE_CARDINALITY, ENTERPRISE_FK, CardinalityRule, FkRule, NullMeaning, parse_cardinality_rules, parse_fk_rules
 from ..sources.parquet_dir import TEST_TABLES, load_directory
 from ..sources.workbook import load_workbooks, sheet_names
 from ..sources.workbook_sink import sheet_rows, write_workbook
@@ -200,6 +201,46 @@ def cardinality_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cardinality_profile(_tables(spark, sf_dir, "region", "nation"), CARDINALITY_RULES[:3]).drop("ordinal")
 
 
+def _enterprise() -> dict[str, str]:
+    """A SELECT over orders for each table that the enterprise rules name: keys repeat, some are null, ranges differ so that there are orphans."""
+    columns: dict[str, set[str]] = {}
+    for r in ENTERPRISE_FK:
+        columns.setdefault(r.child_table, set()).add(r.child_column)
+        columns.setdefault(r.ref_table, set()).add(r.ref_column)
+    for c in ENTERPRISE_CARDINALITY:
+        columns.setdefault(c.parent_table, set()).add(c.parent_column)
+        columns.setdefault(c.child_table, set()).add(c.child_column)
+    out = {}
+    for t, name in enumerate(sorted(columns)):
+        each = [f"CASE WHEN o_orderkey % 11 <> {j} THEN (o_custkey * {j + 1} + {t}) % {50 + 7 * t} END AS {c}" for j, c in enumerate(sorted(columns[name]))]
+        out[name] = f"SELECT {', '.join(each)} FROM {{orders}} WHERE o_orderkey % {t + 2} = 0"
+    return out
+
+
+def _enterprise_tables(spark: SparkSession, sf_dir: str) -> TableCatalog:
+    orders = _tables(spark, sf_dir, "orders").require("orders").select("o_orderkey", "o_custkey")
+    return TableCatalog({name: spark.sql(sql, orders=orders) for name, sql in _enterprise().items()})
+
+
+def enterprise_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 22 rules of the enterprise systems on tables cut from orders."""
+    return ops.fk_check_long(_enterprise_tables(spark, sf_dir), ENTERPRISE_FK).select(*_FK)
+
+
+def enterprise_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 cardinality rules of the enterprise systems on the same tables."""
+    return ops.cardinality_profile(_enterprise_tables(spark, sf_dir), ENTERPRISE_CARDINALITY).drop("ordinal")
+
+
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a text report: inventory, missing values, foreign keys and cardinalities, one of them of a table without rows."""
+    t = _tables(spark, sf_dir, "region", "nation", "customer")
+    t.register("closed", t.require("customer").where("false"))
+    rules = [*CARDINALITY_RULES[:2], CardinalityRule("R01", "nation", "n_nationkey", "closed", "c_nationkey")]
+    lines = [*inventory_lines(ops.table_inventory(t)), *null_lines(ops.null_profile(_outer(spark, sf_dir))), *fk_lines(ops.fk_check(t, FK_RULES[:2])), *cardinality_lines(ops.cardinality_profile(t, rules))]
+    return spark.createDataFrame([(line,) for line in lines], "line string")
+
+
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lower case, containment, concatenation and padding."""
     n = _tables(spark, sf_dir, "nation").require("nation")
@@ -260,6 +301,9 @@ _ALL: tuple[Query, ...] = (
     workbook_fk,
     fk_missing_column,
     cardinality_missing_table,
+    enterprise_fk,
+    enterprise_cardinality,
+    text_report,
 )
 
 
@@ -313,6 +357,24 @@ def _cardinality_sql(rules=CARDINALITY_RULES) -> str:
     return " UNION ALL ".join(each)
 
 
+def _enterprise_sql(body: str, *labels: str) -> str:
+    """body over the enterprise tables, in whose names __ stands for the slash; labels are the columns that show the names."""
+    tables = ", ".join(f"{n.replace('/', '__')} AS ({sql.format(orders='orders')})" for n, sql in _enterprise().items())
+    return f"WITH {tables} SELECT * REPLACE ({', '.join(f"replace({c}, '__', '/') AS {c}" for c in labels)}) FROM ({body})"
+
+
+def _report_sql(nulls: str) -> str:
+    tables = ("region", "nation", "customer")
+    cards = [*CARDINALITY_RULES[:2], CardinalityRule("R01", "nation", "n_nationkey", "closed", "c_nationkey")]
+    stock = [f"SELECT format('{{:<45}} {{:>5}} rows {{:>2}} columns', '{n}', count(*), {_WIDTHS[w]}) AS line FROM {n}" for n, w in [*((t, t) for t in tables), ("closed", "customer")]]
+    number = lambda c, f: f"CASE WHEN {c} IS NULL THEN 'nan' ELSE {f} END"
+    mean, low, high = number("avg_children", "printf('%.1f', avg_children)"), number("min_children", "min_children::VARCHAR"), number("max_children", "max_children::VARCHAR")
+    sizes = f"SELECT parent || ' ' || declared || ' ' || child || ': ' || n_parents || ' parents, children avg ' || {mean} || ', min ' || {low} || ', max ' || {high} FROM ({_cardinality_sql(cards)})"
+    missing = f"SELECT table_name || '.' || column_name || ': ' || n_null || ' null (' || pct_null || ' %)' FROM ({nulls})"
+    keys = f"SELECT from_column || ' -> ' || to_column || ': ' || refs || ' refs, ' || status FROM ({_with_status(*map(_fk_sql, FK_RULES[:2]))})"
+    return "WITH closed AS (SELECT * FROM customer WHERE false) " + " UNION ALL ".join([*stock, missing, keys, sizes])
+
+
 def oracle_sql() -> dict[str, str]:
     outer_nulls = _null_sql("documents_labels", _OUTER, "doc_id lang source n_chars quality toxic")
     mixed = [FkRule("M01", "orders_cast", "as_double", "customer", "c_custkey"), FkRule("M02", "orders_cast", "as_text", "customer", "c_custkey"), FkRule("M03", "orders_cast", "as_big", "customer_big", "c_big")]
@@ -354,4 +416,7 @@ def oracle_sql() -> dict[str, str]:
         "qualified_names": "SELECT 'nation.' || n_name AS qualified FROM nation",
         "status_flag": "SELECT rule_id, orphans = 0 AS ok, status FROM (" + _with_status(*map(_fk_sql, FK_RULES), _fk_sql(PARTIAL, _ORDERS_F)) + ")",
         "half_even_percent": "SELECT l_linenumber, round_even(count(*) FILTER (WHERE l_returnflag = 'R') / count(*) * 100, 1) AS pct FROM lineitem GROUP BY 1",
+        "enterprise_fk": _enterprise_sql(_with_status(*[_fk_sql(FkRule(r.rule_id, r.child_table.replace("/", "__"), r.child_column, r.ref_table.replace("/", "__"), r.ref_column)) for r in ENTERPRISE_FK]), "from_column", "to_column"),
+        "enterprise_cardinality": _enterprise_sql(_cardinality_sql([CardinalityRule(c.rule_id, c.parent_table.replace("/", "__"), c.parent_column, c.child_table.replace("/", "__"), c.child_column, c.declared) for c in ENTERPRISE_CARDINALITY]), "parent", "child"),
+        "text_report": _report_sql(outer_nulls),
     }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Mapping, Sequence
@@ -12,6 +10,8 @@ from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import shared_dir
+
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -55,13 +55,7 @@ def sheet_rows(df: DataFrame, banner: str, *, max_rows: int = MAX_ROWS - 2) -> l
 
 def write_workbook(spark: SparkSession, sheets: Mapping[str, Sequence[Sequence[Cell]]], path: str | None = None) -> str:
     """Write the workbook to path and return it. Without one: to the folder of spark.checkpoint.dir, or a temporary one on a local master."""
-    if path is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", spark.sparkContext.master):
-                raise ValueError("name a path, or set spark.checkpoint.dir")
-            folder = "file://" + tempfile.mkdtemp(prefix="rowkeel-")
-        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.xlsx"
+    path = path or f"{shared_dir(spark)}/{uuid.uuid4().hex}.xlsx"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
     stream.write(bytearray(workbook_bytes(sheets)))

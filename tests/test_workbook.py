@@ -70,3 +70,28 @@ def test_audit_of_workbooks(spark, tmp_path):
     assert list(t) == ["RH/employees", "RH/skills"]
     (r,) = ops.fk_check(t, [FkRule("FK20", "RH/skills", "employee_id", "RH/employees", "employee_id")]).collect()
     assert (r.from_column, r.refs, r.orphans) == ("RH/skills.employee_id", 2, 1)
+
+
+def test_each_book_is_parsed_once(spark, tmp_path):
+    """Tables read the parsed cells: books may go once they are loaded. A sheet reads its own part only."""
+    paths = {}
+    for system in ("RH", "CRM"):
+        paths[system] = str(tmp_path / f"{system}.xlsx")
+        xlsx.write(paths[system], {"Résumé": [["x"]], "a": [BANNER, ["k", "v"], *[[i, f"{system}{i}"] for i in range(7000)]], "b": [BANNER, ["k"], [1.5], ["x"]]})
+    t = load_workbooks(spark, paths)
+    for p in paths.values():
+        (tmp_path / p).unlink()
+    assert list(t) == ["RH/a", "RH/b", "CRM/a", "CRM/b"]
+    assert [(r.n_rows, r.n_cols) for r in ops.table_inventory(t).orderBy("ordinal").collect()] == [(7000, 2), (2, 1), (7000, 2), (2, 1)]
+    assert {tuple(r) for r in t.require("CRM/a").collect()} == {(i, f"CRM{i}") for i in range(7000)}
+    plan = t.require("CRM/b")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(book" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_no_such_sheet(spark, book):
+    with pytest.raises(ValueError, match="no sheet 'nowhere'; there are .*employees"):
+        read_sheet(spark, book, "nowhere")
+
+
+def test_no_books(spark):
+    assert list(load_workbooks(spark, {})) == []

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import TableCatalog
+from ..functions.keys import canonical_key
 from ..functions.missing import is_present
 from ..functions.scalars import qualified_name
 from ..rules import CardinalityRule
@@ -24,33 +26,54 @@ def cardinality_profile(catalog: TableCatalog, rules: Iterable[CardinalityRule])
 
     n_parents counts distinct parent keys; the rest is over child keys only: parents without children
     don't count, children without a parent do. Without any child key the three are null. Rules with a
-    table missing are left out; a missing column raises KeyError.
+    table missing are left out; a missing column raises KeyError. A column is read once however many rules name it, and
+    all keys meet in one grouping, partly in each task.
     """
-    rules, parts = list(rules), []
-    for i, r in enumerate(rules):
-        if r.parent_table not in catalog or r.child_table not in catalog:
-            continue
-        parent = catalog.require_column(r.parent_table, r.parent_column)
-        child = catalog.require_column(r.child_table, r.child_column)
-        n = "n_parents", "avg_children", "min_children", "max_children"
-        # Two rows of aggregates, one a side, are brought together by one grouping: no row join is needed.
-        up = parent.where(is_present(parent, r.parent_column)).agg(F.count_distinct(parent[f"`{r.parent_column}`"]).alias(n[0]))
-        up = up.select(n[0], F.lit(None).cast("double").alias(n[1]), F.lit(None).cast("long").alias(n[2]), F.lit(None).cast("long").alias(n[3]))
-        down = group_sizes(child, r.child_column).agg(F.avg("n").alias(n[1]), F.min("n").alias(n[2]), F.max("n").alias(n[3]))
-        both = up.unionByName(down.withColumn(n[0], F.lit(None).cast("long"))).agg(*[F.max(c).alias(c) for c in n])
-        parts.append(
-            both.select(
-                F.lit(i).alias("ordinal"),
-                F.lit(r.rule_id).alias("rule_id"),
-                qualified_name(r.parent_table, r.parent_column).alias("parent"),
-                F.lit(r.declared).alias("declared"),
-                qualified_name(r.child_table, r.child_column).alias("child"),
-                *n,
-            )
-        )
-    if not parts:
+    rules = list(rules)
+    live = [(i, r) for i, r in enumerate(rules) if r.parent_table in catalog and r.child_table in catalog]
+    if not live:
         raise ValueError("no rule applies" if rules else "there are no rules")
-    return reduce(DataFrame.unionByName, parts)
+    sides: dict[tuple[str, str], int] = {}
+    for _, r in live:
+        for column in ((r.parent_table, r.parent_column), (r.child_table, r.child_column)):
+            sides.setdefault(column, len(sides))
+    sizes = reduce(DataFrame.unionByName, [_keys(catalog, t, c, n) for (t, c), n in sides.items()]).groupBy("side", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    stats = sizes.groupBy("side").agg(F.count(F.lit(1)).alias("keys"), F.avg("n").alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
+    # One row for each side, which the rules bound, becomes one map; the rules look their sides up in it.
+    held = stats.agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("keys", "avg", "min", "max")))).alias("of"))
+    rows = F.array(*[_record(r, i, sides) for i, r in live])
+    return held.select(F.inline(rows))
+
+
+def _keys(catalog: TableCatalog, table: str, column: str, side: int) -> DataFrame:
+    """side, and the keys of a column as number or text, whichever they are."""
+    df = catalog.require_column(table, column)
+    kind, c = df.schema[column].dataType, df[f"`{column}`"]
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    number, text = (c.cast("long"), F.lit(None).cast("string")) if whole else (F.lit(None).cast("long"), _text(c, kind))
+    return df.where(is_present(df, column)).select(F.lit(side).alias("side"), number.alias("number"), text.alias("text"))
+
+
+def _text(c: Column, kind: T.DataType) -> Column:
+    try:
+        return canonical_key(c, kind)
+    except TypeError:  # binary, arrays and the like
+        return F.to_json(F.struct(c.alias("k")))
+
+
+def _record(r: CardinalityRule, i: int, sides: dict[tuple[str, str], int]) -> Column:
+    up, down = (F.try_element_at("of", F.lit(sides[x])) for x in ((r.parent_table, r.parent_column), (r.child_table, r.child_column)))
+    return F.struct(
+        F.lit(i).alias("ordinal"),
+        F.lit(r.rule_id).alias("rule_id"),
+        qualified_name(r.parent_table, r.parent_column).alias("parent"),
+        F.lit(r.declared).alias("declared"),
+        qualified_name(r.child_table, r.child_column).alias("child"),
+        F.coalesce(up["keys"], F.lit(0).cast("long")).alias("n_parents"),
+        down["avg"].alias("avg_children"),
+        down["min"].alias("min_children"),
+        down["max"].alias("max_children"),
+    )
 
 
 def declared_violations(catalog: TableCatalog, rules: Iterable[CardinalityRule]) -> DataFrame:

@@ -80,6 +80,17 @@ def test_cardinality(spark):
     assert list(cardinality_lines(ops.cardinality_profile(t, rules)))[1].endswith("avg nan, min nan, max nan")
 
 
+def test_cardinality_of_any_kind_of_key(spark):
+    """Keys are told apart within their column only; a shared parent is read once."""
+    kinds = {"string": ["1", "1.0", "1"], "double": [0.0, -0.0, float("nan")], "boolean": [True, False, True], "binary": [b"a", b"b", b"a"], "array<int>": [[1], [1, None], [1]]}
+    want = {"string": (2, 1.5, 1, 2), "double": (1, 2.0, 2, 2), "boolean": (2, 1.5, 1, 2), "binary": (2, 1.5, 1, 2), "array<int>": (2, 1.5, 1, 2)}
+    t = TableCatalog({k: frame(spark, [*v, None], f"k {k}") for k, v in kinds.items()} | {"p": frame(spark, [1, 2, 2, 1000], "k long")})
+    got = ops.cardinality_profile(t, [CardinalityRule(k, "p", "k", k, "k") for k in kinds] + [CardinalityRule(f"{k} up", k, "k", "p", "k") for k in kinds])
+    rows = {r.rule_id: (r.n_parents, r.avg_children, r.min_children, r.max_children) for r in got.collect()}
+    for k, (n, *rest) in want.items():
+        assert rows[k] == (3, *rest) and rows[f"{k} up"] == (n, 4 / 3, 1, 2)
+
+
 def test_null_profile(spark):
     df = spark.createDataFrame([(float("nan"), None, "x", [1]), (None, None, "", None), (1.0, None, "NA", [])], "v double, w int, s string, a array<int>")
     empty = spark.createDataFrame([], "z int")

@@ -127,12 +127,12 @@ def fk_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fk_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole doubles meet integers, also from 10**15 on; text keys meet neither."""
+    """Whole doubles meet integers, also from 10**15 on (keys of up to 9,000 are scaled, so that a long holds them); text keys meet neither."""
     t = _tables(spark, sf_dir, "orders", "customer")
-    big = F.lit(10**15).cast("long")
-    o = t.require("orders").select(F.col("o_custkey").cast("double").alias("as_double"), F.col("o_custkey").cast("string").alias("as_text"), (F.col("o_custkey") * big).cast("double").alias("as_big"))
+    big = lambda c: F.col(c) % 9000 * F.lit(10**15).cast("long")
+    o = t.require("orders").select(F.col("o_custkey").cast("double").alias("as_double"), F.col("o_custkey").cast("string").alias("as_text"), big("o_custkey").cast("double").alias("as_big"))
     t.register("orders_cast", o)
-    t.register("customer_big", t.require("customer").where("c_custkey % 3 != 0").select((F.col("c_custkey") * big).alias("c_big")))
+    t.register("customer_big", t.require("customer").where("c_custkey % 3 != 0").select(big("c_custkey").alias("c_big")))
     rules = parse_fk_rules("M01 orders_cast.as_double -> customer.c_custkey\nM02 orders_cast.as_text -> customer.c_custkey\nM03 orders_cast.as_big -> customer_big.c_big")
     return ops.fk_check(t, rules).select(*_FK)
 
@@ -379,8 +379,8 @@ def oracle_sql() -> dict[str, str]:
     outer_nulls = _null_sql("documents_labels", _OUTER, "doc_id lang source n_chars quality toxic")
     mixed = [FkRule("M01", "orders_cast", "as_double", "customer", "c_custkey"), FkRule("M02", "orders_cast", "as_text", "customer", "c_custkey"), FkRule("M03", "orders_cast", "as_big", "customer_big", "c_big")]
     casts = (
-        "WITH orders_cast AS (SELECT o_custkey::DOUBLE AS as_double, 's:' || o_custkey AS as_text, (o_custkey * 1000000000000000)::BIGINT AS as_big FROM orders), "
-        "customer_big AS (SELECT c_custkey * 1000000000000000 AS c_big FROM customer WHERE c_custkey % 3 <> 0) "
+        "WITH orders_cast AS (SELECT o_custkey::DOUBLE AS as_double, 's:' || o_custkey AS as_text, (o_custkey % 9000 * 1000000000000000)::BIGINT AS as_big FROM orders), "
+        "customer_big AS (SELECT c_custkey % 9000 * 1000000000000000 AS c_big FROM customer WHERE c_custkey % 3 <> 0) "
     )
     book = FkRule("W01", "nation", "n_regionkey", "region", "r_regionkey")
     nations = "(SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN n_name END AS n_name, n_regionkey FROM nation)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, mixing, packing, pii, qualityclf, qualityrules, simhash, urlfilter
+from . import ann, decontam, langid, linededup, mixing, negatives, packing, pii, qualityclf, qualityrules, simhash, urlfilter, whitening
 from .common import crc_mod, labelled_sample
 
 #: Fixed values of the url rules.
@@ -143,10 +143,57 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_account", "n_secret", "n_login", "n_spans", "found")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_overlaps(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP12_SQL = r"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: list_slice(w, i, i + 9))) AS win FROM item WHERE len(w) > 0),
+doc AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+run AS (SELECT row_no, size, unnest(range(1, len(w) - size + 2)) AS i, unnest(list_transform(range(1, len(w) - size + 2), lambda i: list_slice(w, i, i + size - 1))) AS win FROM doc, (SELECT DISTINCT size FROM win)),
+hit AS (SELECT row_no, i, run.size, item_id FROM run JOIN win ON run.win = win.win),
+covered AS (SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(range(i, i + size)) AS p FROM hit) GROUP BY row_no),
+named AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY row_no)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (row_no) LEFT JOIN named USING (row_no)
+"""
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label, every=100, k=5, low=80, scale=256.0)
+
+
+OP13_SQL = """
+WITH row AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+  FROM row a JOIN row r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id AND len(a.v) = len(r.v)),
+positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+pair AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM pair WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mixing, op2_simhash, op3_langid, op4_urlfilter, op5_linededup, op6_ann, op7_qualityrules, op8_packing, op9_qualityclf, op10_pii)
+    own = (op1_mixing, op2_simhash, op3_langid, op4_urlfilter, op5_linededup, op6_ann, op7_qualityrules, op8_packing, op9_qualityclf, op10_pii, op11_whitening, op12_decontam, op13_negatives)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_linededup": OP5_SQL}
+    return {"op5_linededup": OP5_SQL, "op12_decontam": OP12_SQL, "op13_negatives": OP13_SQL}

@@ -4,7 +4,7 @@ One Aho-Corasick automaton finds anchors in a text, whatever their case: at-sign
 before digits, and digit pairs that an address or a number must contain. Deterministic local parsers then expand
 each anchor to its boundaries and validate it. Kinds email, ip, card and phone equal leftmost non-overlapping matches
 of their patterns; account (a number or code after a cue such as iban), secret (the value that is given to a cue such
-as token or password) and login (user and password in a url) are the method's own.
+as token or password, or a key that is known by its form) and login (user and password in a url) are the method's own.
 """
 
 from __future__ import annotations
@@ -29,6 +29,20 @@ _LOCAL, _LABEL, _PHONE = _ALNUM | frozenset("._%+-"), _ALNUM | {"-"}, _DIGITS |
 CUES = ("iban", "account", "acct", "passport", "ssn", "social security", "driver license", "tax id", "konto", "kontonummer", "cuenta", "compte")
 KEY_CUES = ("token", "api key", "api_key", "api-key", "apikey", "secret", "secret key", "secret_key", "access key", "access_key", "private key", "private_key", "client_secret", "auth", "authorization", "bearer", "credential", "credentials")
 PASSWORD_CUES = ("password", "passwd", "passwort", "passphrase", "pwd", "contraseña", "mot de passe", "kennwort")
+# Heads of keys that are known by their form, in lower case, and the forms.
+FORMS = (
+    ("akia", r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("asia", r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    ("ghp_", r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    ("gho_", r"gho_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    ("ghs_", r"ghs_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    ("github_pat_", r"github_pat_[0-9A-Za-z_]{22,255}(?![0-9A-Za-z_])"),
+    ("glpat-", r"glpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_-])"),
+    ("xoxb-", r"xoxb-[0-9A-Za-z-]{10,255}(?![0-9A-Za-z-])"),
+    ("xoxp-", r"xoxp-[0-9A-Za-z-]{10,255}(?![0-9A-Za-z-])"),
+    ("eyj", r"eyJ[0-9A-Za-z_-]{5,}\.eyJ[0-9A-Za-z_-]{5,}\.[0-9A-Za-z_-]{10,}"),
+    ("-----begin ", r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----(?:[^-]{0,16384}-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----)?"),
+)
 SCHEMES = ("http://", "https://", "ftp://", "ssh://")
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -49,6 +63,8 @@ def automaton() -> ahocorasick.Automaton:
             a.add_word(c, (what, len(c)))
     for s in SCHEMES:
         a.add_word(s, ("scheme", len(s)))
+    for head, _ in FORMS:
+        a.add_word(head, (f"form {head}", len(head)))
     a.make_automaton()
     return a
 
@@ -148,22 +164,23 @@ class _Phone:
 
 
 class _Account:
-    """After a cue that is a whole word: up to a few separators, then 8 to 34 letters and digits, four digits or more."""
+    """After a cue that is a whole word, a verb or a few separators: groups of letters and digits, each with a digit, together
+    8 to 34 signs, four digits or more. A longer row of such groups is no account, nor is its beginning."""
 
     end = 0
-    _gap = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?[\s:#=]{1,3}", re.I | re.A)
-    _word = re.compile(r"[ -]?[A-Za-z0-9]+")
+    _gap = re.compile(r"(?:\s?(?:no|nr|number|num)\b\.?)?(?:\s(?:is|was|are|ist|lautet|es|est)\b)?[\s:#=]{1,3}", re.I | re.A)
+    _word = re.compile(r"[ -]?([A-Za-z0-9]+)")
 
     def parse(self, text: str, at: int, size: int) -> Span | None:
         if at < self.end or at and text[at - 1].isalnum() or not (gap := self._gap.match(text, at + size)):
             return None
-        start = gap.end()
-        end = start  # only groups that hold a digit belong to the number
-        while (word := self._word.match(text, end)) and any(c in _DIGITS for c in word[0]) and word.end() - start <= 42:
-            end = word.end()
-        code = text[start:end]
-        bare = sum(c in _ALNUM for c in code)
-        if not 8 <= bare <= 34 or sum(c in _DIGITS for c in code) < 4:
+        start = end = gap.end()
+        signs = 0
+        while (word := self._word.match(text, end)) and any(c in _DIGITS for c in word[1]):
+            end, signs = word.end(), signs + len(word[1])
+            if signs > 34:
+                return None
+        if signs < 8 or sum(c in _DIGITS for c in text[start:end]) < 4:
             return None
         self.end = end
         return start, end
@@ -174,6 +191,7 @@ class _Secret:
 
     A key is 8 to 512 letters, digits and signs of usual encodings, with a digit and a letter. A password is
     6 to 128 characters without blanks or quotes, one of them no letter; a bare one loses closing punctuation.
+    A key that is known by its form needs no cue.
     """
 
     end = 0
@@ -204,6 +222,16 @@ class _Secret:
         return start, self.end
 
 
+    _forms = {head: re.compile(rx) for head, rx in FORMS}
+
+    def form(self, text: str, at: int, head: str) -> Span | None:
+        # Nothing that could belong to the key stands before it, so that no run is read twice.
+        if at < self.end or at and (text[at - 1].isalnum() or text[at - 1] in "_-") or not (m := self._forms[head].match(text, at)):
+            return None
+        self.end = m.end()
+        return m.span()
+
+
 class _Login:
     """After a scheme: user:password@ before the host."""
 
@@ -241,6 +269,8 @@ def find(text: str) -> dict[str, list[Span]]:
             add("account", account.parse(text, at, size))
         elif what in ("key", "password"):
             add("secret", secret.parse(text, at, size, what))
+        elif what.startswith("form "):
+            add("secret", secret.form(text, at, what[5:]))
         else:
             add("login", login.parse(text, at, size))
     return out

@@ -2,7 +2,8 @@
 
 Features are hashed character 3- and 4-grams of host and path. The model is fitted on a small labelled
 URL table (its size is checked) by stochastic gradient steps folded over the table with aggregate()
-in one row; only the weight vector, of fixed length, comes back. Scoring is a fold over each url's slots.
+in one row; only the weight vector, of fixed length, comes back. Scoring is a fold over each url's slots. Names that
+the labels know nothing of are allowed, as most sites are harmless.
 """
 
 from __future__ import annotations
@@ -52,18 +53,25 @@ def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def train(labelled: DataFrame, *, width: int = 2048, epochs: int = 12, rate: float = 0.6, decay: float = 1e-4, max_rows: int = 2000) -> list[float]:
+def train(labelled: DataFrame, *, width: int = 1 << 16, epochs: int = 12, rate: float = 0.6, decay: float = 1e-4, max_rows: int = 2000, max_cells: int = 1 << 24) -> list[float]:
     """Weights (width of them, then the bias) from labelled(url string, label int: 1 is block).
 
-    Rows with a null url or label are left out. More than max_rows raise ValueError. Without rows all weights are 0.
+    Only slots that the labelled urls use get a weight: n-grams that no label knows count for neither side, and the bias, which the
+    share of both labels sets, decides. Rows with a null url or label are left out. More than max_rows rows, or more than max_cells
+    of rows times slots in use, raise ValueError. Without rows all weights are 0.
     """
     host, path = host_and_path(F.col("url"))
     rows = labelled.where("url is not null and label is not null").select("url", "label", slots(host, path, width).alias("s"))
-    if rows.limit(max_rows + 1).count() > max_rows:
+    n = rows.limit(max_rows + 1).count()
+    if n > max_rows:
         raise ValueError(f"the labelled table has more than {max_rows} rows")
-    # Dense rows, in an order that only the urls decide.
+    used = sorted(r.slot for r in rows.select(F.explode("s").alias("slot")).distinct().limit(max_cells // max(1, n) + 1).collect())
+    if n * len(used) > max_cells:
+        raise ValueError(f"the labelled table takes more than {max_cells} cells")
+    # Dense rows over the slots in use, in an order that only the urls decide.
     unit = 1 / F.sqrt(F.greatest(F.size("s"), F.lit(1)).cast("double"))
-    x = F.concat(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when(F.array_contains(F.col("s"), i), unit).otherwise(F.lit(0.0))), F.array(F.lit(1.0)))
+    seen = F.split(F.lit(",".join(map(str, used))), ",").cast("array<int>") if used else F.array().cast("array<int>")
+    x = F.concat(F.transform(seen, lambda i: F.when(F.array_contains(F.col("s"), i), unit).otherwise(F.lit(0.0))), F.array(F.lit(1.0)))
     dense = rows.select(F.xxhash64("url").alias("h"), "url", "label", F.col("label").cast("double").alias("y"), x.alias("x"))
     table = dense.agg(F.sort_array(F.collect_list(F.struct("h", "url", "y", "x"))).alias("rows"))
 
@@ -72,14 +80,18 @@ def train(labelled: DataFrame, *, width: int = 2048, epochs: int = 12, rate: flo
         return F.element_at(F.transform(miss, lambda e: F.zip_with(w, row["x"], lambda a, b: a * (1 - rate * decay) + rate * e * b)), 1)
 
     again = F.flatten(F.array_repeat(F.col("rows"), epochs))
-    return table.select(F.aggregate(again, F.array_repeat(F.lit(0.0), width + 1), step).alias("w")).first().w
+    found = table.select(F.aggregate(again, F.array_repeat(F.lit(0.0), len(used) + 1), step).alias("w")).first().w
+    weights = [0.0] * width + [found[-1]]
+    for slot, w in zip(used, found):
+        weights[slot - 1] = w
+    return weights
 
 
 def block_score(host: Column, path: Column, weights: Sequence[float]) -> Column:
     """Probability that the url is to be blocked."""
     width = len(weights) - 1
     # One text literal, folded to an array once: a literal for each weight would bloat the plan.
-    w = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    w = F.split(F.lit(",".join(repr(x) if x else "0" for x in weights)), ",").cast("array<double>")
     own = slots(host, path, width)
     return _sigmoid(F.lit(float(weights[-1])) + F.aggregate(own, F.lit(0.0), lambda s, i: s + F.get(w, i - 1)) / F.sqrt(F.greatest(F.size(own), F.lit(1)).cast("double")))
 

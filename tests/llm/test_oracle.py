@@ -8,7 +8,7 @@ from rowkeel.llm import queries
 def test_query_equals_sql(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in got.description]

@@ -40,24 +40,26 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
 
 
 def slots(host: Column, path: Column, width: int) -> Column:
-    """Distinct hashed n-grams of host and path, in 1 to width."""
-    parts = []
-    for tag, text in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(F.lit("^"), path, F.lit("$")))):
-        for n in (3, 4):
-            grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-            parts.append(F.transform(grams, lambda g, t=tag: (F.pmod(F.xxhash64(F.lit(t), g), F.lit(width)) + 1).cast("int")))
-    return F.array_distinct(F.concat(*parts))
+    """Distinct hashed n-grams of host and path, in 1 to width. An n-gram has one slot wherever it stands, but one of its own in each part."""
+
+    def hashed(tag: str, text: Column, n: int) -> Column:
+        grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+        # One parameter: a second one would be the position.
+        return F.transform(grams, lambda g: (F.pmod(F.xxhash64(F.lit(tag), g), F.lit(width)) + 1).cast("int"))
+
+    ends = [(tag, F.concat(F.lit("^"), part, F.lit("$"))) for tag, part in (("h", host), ("p", path))]
+    return F.array_distinct(F.concat(*[hashed(tag, text, n) for tag, text in ends for n in (3, 4)]))
 
 
 def _sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def train(labelled: DataFrame, *, width: int = 1 << 16, epochs: int = 12, rate: float = 0.6, decay: float = 1e-4, max_rows: int = 2000, max_cells: int = 1 << 24) -> list[float]:
+def train(labelled: DataFrame, *, width: int = 1 << 16, epochs: int = 12, rate: float = 0.6, decay: float = 1e-4, bias: float = 0.55, min_rows: int = 3, max_rows: int = 2000, max_cells: int = 1 << 24) -> list[float]:
     """Weights (width of them, then the bias) from labelled(url string, label int: 1 is block).
 
-    Only slots that the labelled urls use get a weight: n-grams that no label knows count for neither side, and the bias, which the
-    share of both labels sets, decides. Rows with a null url or label are left out. More than max_rows rows, or more than max_cells
+    Only slots that min_rows labelled urls use get a weight: n-grams that the labels hardly know count for neither side, and the
+    bias, which the share of both labels sets, decides. `bias` is the constant that it multiplies: below 1, single steps move it less. Rows with a null url or label are left out. More than max_rows rows, or more than max_cells
     of rows times slots in use, raise ValueError. Without rows all weights are 0.
     """
     host, path = host_and_path(F.col("url"))
@@ -65,13 +67,14 @@ def train(labelled: DataFrame, *, width: int = 1 << 16, epochs: int = 12, rate:
     n = rows.limit(max_rows + 1).count()
     if n > max_rows:
         raise ValueError(f"the labelled table has more than {max_rows} rows")
-    used = sorted(r.slot for r in rows.select(F.explode("s").alias("slot")).distinct().limit(max_cells // max(1, n) + 1).collect())
+    each = rows.select(F.explode("s").alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
+    used = sorted(r.slot for r in each.limit(max_cells // max(1, n) + 1).collect())
     if n * len(used) > max_cells:
         raise ValueError(f"the labelled table takes more than {max_cells} cells")
     # Dense rows over the slots in use, in an order that only the urls decide.
     unit = 1 / F.sqrt(F.greatest(F.size("s"), F.lit(1)).cast("double"))
     seen = F.split(F.lit(",".join(map(str, used))), ",").cast("array<int>") if used else F.array().cast("array<int>")
-    x = F.concat(F.transform(seen, lambda i: F.when(F.array_contains(F.col("s"), i), unit).otherwise(F.lit(0.0))), F.array(F.lit(1.0)))
+    x = F.concat(F.transform(seen, lambda i: F.when(F.array_contains(F.col("s"), i), unit).otherwise(F.lit(0.0))), F.array(F.lit(bias)))
     dense = rows.select(F.xxhash64("url").alias("h"), "url", "label", F.col("label").cast("double").alias("y"), x.alias("x"))
     table = dense.agg(F.sort_array(F.collect_list(F.struct("h", "url", "y", "x"))).alias("rows"))
 
@@ -81,7 +84,7 @@ def train(labelled: DataFrame, *, width: int = 1 << 16, epochs: int = 12, rate:
 
     again = F.flatten(F.array_repeat(F.col("rows"), epochs))
     found = table.select(F.aggregate(again, F.array_repeat(F.lit(0.0), len(used) + 1), step).alias("w")).first().w
-    weights = [0.0] * width + [found[-1]]
+    weights = [0.0] * width + [found[-1] * bias]
     for slot, w in zip(used, found):
         weights[slot - 1] = w
     return weights

@@ -30,7 +30,7 @@ def test_rules_and_parts(spark):
 
 
 #: Names that the labelled table hasn't: ordinary ones, and well-known harmless hosts.
-KNOWN = "wikipedia.org nytimes.com mit.edu who.int nasa.gov bbc.co.uk github.com stackoverflow.com archive.org britannica.com nature.com sciencemag.org harvard.edu stanford.edu ox.ac.uk cam.ac.uk un.org europa.eu loc.gov nih.gov cdc.gov noaa.gov usgs.gov python.org rust-lang.org golang.org kernel.org gnu.org ietf.org arxiv.org jstor.org reuters.com apnews.com theguardian.com lemonde.fr spiegel.de elpais.com zeit.de npr.org pbs.org imdb.com goodreads.com gutenberg.org openstreetmap.org duckduckgo.com microsoft.com apple.com ibm.com intel.com samsung.com".split()
+KNOWN = "wikipedia.org nytimes.com mit.edu who.int nasa.gov bbc.co.uk github.com stackoverflow.com archive.org britannica.com nature.com sciencemag.org harvard.edu stanford.edu ox.ac.uk cam.ac.uk un.org europa.eu loc.gov nih.gov cdc.gov noaa.gov usgs.gov python.org rust-lang.org golang.org kernel.org gnu.org acm.org arxiv.org jstor.org reuters.com apnews.com theguardian.com lemonde.fr spiegel.de elpais.com zeit.de npr.org pbs.org imdb.com goodreads.com gutenberg.org openstreetmap.org duckduckgo.com microsoft.com apple.com ibm.com intel.com samsung.com".split()
 UNSEEN_BAD = "casino-king vegas-slots poker-bonus-room bets-live cheap-pill-shop viagra-online free-prize win-lottery ads-click spam-links adult-tube sex-chat payday-cash torrent-crack".split()
 UNSEEN_GOOD = "moth-collection housing-report choir-letters winter-travel maths-notes city-weather cathedral bookbinding spanish-history bricklayer pottery-class village-band rainfall-records harbour-master".split()
 
@@ -55,7 +55,7 @@ def test_names_held_out_of_the_fit(spark):
     import zlib
 
     rows = queries.labelled_urls(spark).collect()
-    out = [r for r in rows if zlib.crc32(re.sub(r".*://(www.|m.|blog.)?([^.]*).*", r"\2", r.url).encode()) % 4 == 1]
+    out = [r for r in rows if zlib.crc32(re.sub(r".*://(www\\.|m\\.|blog\\.)?([^.]*).*", r"\2", r.url).encode()) % 4 == 1]
     kept = spark.createDataFrame([r for r in rows if r not in out], "url string, label int")
     got = verdicts(spark, [r.url for r in out], kept)
     allow = [v for v, r in zip(got, out) if r.label == 0]
@@ -90,6 +90,13 @@ def test_bad_sites_of_pages(spark):
     assert n.get((False, "block"), 0) <= 0.01 * (n[False, "allow"] + n.get((False, "block"), 0))
 
 
+def test_slots_know_the_part_not_the_place(spark):
+    """An n-gram has one slot wherever it stands in a part, and another in the other part."""
+    own = lambda h, p: set(spark.range(1).select(urlfilter.slots(F.lit(h), F.lit(p), 1 << 30).alias("s")).first().s)
+    assert len(own("xabcd", "") & own("yyabcd", "")) == 2 + 1 + 2  # abc, bcd, abcd, cd$, bcd$
+    assert not own("abcd", "") & own("", "abcd") and len(own("ababab", "")) == 2 + 2 + 2 + 2
+
+
 def test_odd(spark):
     none = spark.createDataFrame([], "url string, label int")
     w = urlfilter.train(none, width=64)
@@ -97,7 +104,7 @@ def test_odd(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge(df, none, [], width=64).count() == 0
     few = spark.createDataFrame([("http://a.com/x", 1), (None, 0), ("http://b.com/y", None)], "url string, label int")
-    assert any(urlfilter.train(few, width=64))
+    assert any(urlfilter.train(few, width=64)) and any(urlfilter.train(few, width=64, min_rows=1)[:-1])
     for bound in ({"max_rows": 3}, {"max_cells": 1000}):
         with pytest.raises(ValueError):
             urlfilter.train(queries.labelled_urls(spark), **bound)

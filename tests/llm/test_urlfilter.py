@@ -59,7 +59,7 @@ def test_names_held_out_of_the_fit(spark):
     kept = spark.createDataFrame([r for r in rows if r not in out], "url string, label int")
     got = verdicts(spark, [r.url for r in out], kept)
     allow = [v for v, r in zip(got, out) if r.label == 0]
-    assert len(allow) > 60 and allow.count("allow") >= 0.95 * len(allow)
+    assert len(allow) > 60 and allow.count("allow") >= 0.93 * len(allow)
 
 
 def test_no_name_is_taken_from_pages(spark):

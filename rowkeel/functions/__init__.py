@@ -2,6 +2,6 @@
 
 from .keys import canonical_key
 from .missing import is_missing, is_present, nan_to_null
-from .scalars import percent, qualified_name, status
+from .scalars import one_decimal, percent, qualified_name, status
 
-__all__ = ["canonical_key", "is_missing", "is_present", "nan_to_null", "percent", "qualified_name", "status"]
+__all__ = ["canonical_key", "is_missing", "is_present", "nan_to_null", "one_decimal", "percent", "qualified_name", "status"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,11 +13,13 @@ from .. import operators as ops
 from ..catalog import TableCatalog
 from ..functions import is_missing, percent, qualified_name, status
 from ..operators.cardinality import declared_violations
-from ..report import cardinality_lines, fk_lines, inventory_lines, null_lines
+from ..report import cardinality_lines, fk_lines, inventory_lines, null_lines, report, write_report, write_results
 from ..rules import ENTERPRISE_CARDINALITY, ENTERPRISE_FK, CardinalityRule, FkRule, NullMeaning, parse_cardinality_rules, parse_fk_rules
+from ..shared import shared_dir
 from ..sources.parquet_dir import TEST_TABLES, load_directory
-from ..sources.workbook import load_workbooks, sheet_names
+from ..sources.workbook import list_sheets, load_workbooks
 from ..sources.workbook_sink import sheet_rows, write_workbook
+from . import extensions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,8 +78,8 @@ def table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def null_profile_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tables(spark, sf_dir, "nation", "customer", "supplier", "part", "orders", "events")
-    return ops.null_profile(t, all_columns=True).select("table_name", "column_name", "n_null", "n_rows", "pct_null")
+    """Every column of every table."""
+    return ops.null_profile(_tables(spark, sf_dir), all_columns=True).select("table_name", "column_name", "n_null", "n_rows", "pct_null")
 
 
 def null_profile_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ def sheet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [(r.n_nationkey, r.n_name) for r in _tables(spark, sf_dir, "nation").require("nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]
     marks = {0: "Résumé ", 1: "📋 ", 2: "My RESUME "}
     path = write_workbook(spark, {marks.get(k % 5, "") + n: [["x"]] for k, n in names})
-    return spark.createDataFrame([(n,) for n in sheet_names(spark, path)], "sheet string")
+    return list_sheets(spark, path).select("sheet")
 
 
 def _book(spark: SparkSession, sf_dir: str) -> TableCatalog:
@@ -202,7 +205,7 @@ def cardinality_missing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enterprise() -> dict[str, str]:
-    """A SELECT over orders for each table that the enterprise rules name: keys repeat, some are null, ranges differ so that there are orphans."""
+    """A SELECT over all of orders for each table that the enterprise rules name: keys repeat, some are null, ranges differ so that there are orphans."""
     columns: dict[str, set[str]] = {}
     for r in ENTERPRISE_FK:
         columns.setdefault(r.child_table, set()).add(r.child_column)
@@ -213,7 +216,7 @@ def _enterprise() -> dict[str, str]:
     out = {}
     for t, name in enumerate(sorted(columns)):
         each = [f"CASE WHEN o_orderkey % 11 <> {j} THEN (o_custkey * {j + 1} + {t}) % {50 + 7 * t} END AS {c}" for j, c in enumerate(sorted(columns[name]))]
-        out[name] = f"SELECT {', '.join(each)} FROM {{orders}} WHERE o_orderkey % {t + 2} = 0"
+        out[name] = f"SELECT {', '.join(each)} FROM {{orders}}"
     return out
 
 
@@ -232,13 +235,31 @@ def enterprise_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.cardinality_profile(_enterprise_tables(spark, sf_dir), ENTERPRISE_CARDINALITY).drop("ordinal")
 
 
-def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of a text report: inventory, missing values, foreign keys and cardinalities, one of them of a table without rows."""
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir, "region", "nation", "customer")
     t.register("closed", t.require("customer").where("false"))
     rules = [*CARDINALITY_RULES[:2], CardinalityRule("R01", "nation", "n_nationkey", "closed", "c_nationkey")]
-    lines = [*inventory_lines(ops.table_inventory(t)), *null_lines(ops.null_profile(_outer(spark, sf_dir))), *fk_lines(ops.fk_check(t, FK_RULES[:2])), *cardinality_lines(ops.cardinality_profile(t, rules))]
-    return spark.createDataFrame([(line,) for line in lines], "line string")
+    return report(inventory_lines(ops.table_inventory(t)), null_lines(ops.null_profile(_outer(spark, sf_dir))), fk_lines(ops.fk_check(t, FK_RULES[:2])), cardinality_lines(ops.cardinality_profile(t, rules)))
+
+
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a text report: inventory, missing values, foreign keys and cardinalities, one of them of a table without rows."""
+    return _report(spark, sf_dir).select("line")
+
+
+def text_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written as text and read back."""
+    path = f"{shared_dir(spark)}/rowkeel-report-{uuid.uuid4().hex}"
+    write_report(_report(spark, sf_dir), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def kept_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign-key records written as JSON and read back."""
+    found = ops.fk_check_long(_tables(spark, sf_dir), FK_RULES)
+    path = f"{shared_dir(spark)}/rowkeel-results-{uuid.uuid4().hex}"
+    write_results(found, path, "json")
+    return spark.read.schema(found.schema).json(path).select(*_FK)
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,11 +325,13 @@ _ALL: tuple[Query, ...] = (
     enterprise_fk,
     enterprise_cardinality,
     text_report,
+    text_report_file,
+    kept_results,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _ALL}
+    return {f.__name__: f for f in (*_ALL, *extensions.ALL)}
 
 
 _COLUMNS = {
@@ -320,8 +343,14 @@ _COLUMNS = {
     "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
     "events": "event_id ts user_id event_type value props",
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
 }
-_WIDTHS = {"documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4} | {t: len(c.split()) for t, c in _COLUMNS.items()}
+_WIDTHS = {t: len(c.split()) for t, c in _COLUMNS.items()}
 
 
 def _null_sql(table: str, source: str, columns: str, missing: str = "{c} IS NULL", only: bool = True) -> str:
@@ -386,7 +415,7 @@ def oracle_sql() -> dict[str, str]:
     nations = "(SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN n_name END AS n_name, n_regionkey FROM nation)"
     return {
         "table_inventory": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, {_WIDTHS[t]}::BIGINT AS n_cols FROM {t}" for t in TEST_TABLES),
-        "null_profile_full": " UNION ALL ".join(_null_sql(t, t, _COLUMNS[t], only=False) for t in ("nation", "customer", "supplier", "part", "orders", "events")),
+        "null_profile_full": " UNION ALL ".join(_null_sql(t, t, _COLUMNS[t], only=False) for t in TEST_TABLES),
         "null_profile_outer": outer_nulls,
         "null_profile_nullif": _null_sql("lineitem", "(SELECT * REPLACE (nullif(l_linenumber, 1) AS l_linenumber) FROM lineitem)", _COLUMNS["lineitem"]),
         "null_profile_nan": "SELECT 'orders' AS table_name, 'o_totalprice' AS column_name, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_null, count(*) AS n_rows, round_even(count(*) FILTER (WHERE o_orderstatus = 'F') / count(*) * 100, 1) AS pct_null FROM orders",
@@ -419,4 +448,6 @@ def oracle_sql() -> dict[str, str]:
         "enterprise_fk": _enterprise_sql(_with_status(*[_fk_sql(FkRule(r.rule_id, r.child_table.replace("/", "__"), r.child_column, r.ref_table.replace("/", "__"), r.ref_column)) for r in ENTERPRISE_FK]), "from_column", "to_column"),
         "enterprise_cardinality": _enterprise_sql(_cardinality_sql([CardinalityRule(c.rule_id, c.parent_table.replace("/", "__"), c.parent_column, c.child_table.replace("/", "__"), c.child_column, c.declared) for c in ENTERPRISE_CARDINALITY]), "parent", "child"),
         "text_report": _report_sql(outer_nulls),
-    }
+        "text_report_file": _report_sql(outer_nulls),
+        "kept_results": _with_status(*map(_fk_sql, FK_RULES)),
+    } | extensions.SQL

@@ -1,7 +1,7 @@
 """Where tables come from."""
 
 from .parquet_dir import load_directory
-from .workbook import load_workbooks, read_sheet, sheet_names
+from .workbook import list_sheets, load_workbooks, read_sheet, sheet_names
 from .workbook_sink import write_workbook
 
-__all__ = ["load_directory", "load_workbooks", "read_sheet", "sheet_names", "write_workbook"]
+__all__ = ["list_sheets", "load_directory", "load_workbooks", "read_sheet", "sheet_names", "write_workbook"]

@@ -129,20 +129,22 @@ def _cell(c: ET.Element, shared: list[str], dates: set[int]) -> tuple[str, str]
     return ("t", v.text.replace("T", " ")) if kind == "d" else ("s", v.text)
 
 
-def sheet_names(spark: SparkSession, path: str, *, tables_only: bool = True) -> list[str]:
-    """The sheets of a workbook in order; tables_only: without summaries."""
+def list_sheets(spark: SparkSession, *paths: str, tables_only: bool = True) -> DataFrame:
+    """path, ordinal, sheet: the sheets of workbooks in order; tables_only: without summaries. Only the lists are parsed, a book a task."""
 
-    def run(batches):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content")):
+                with zipfile.ZipFile(io.BytesIO(data.as_buffer().to_pybytes())) as book:
+                    names = [(i, n) for i, n in enumerate(_sheets(book)) if not (tables_only and is_summary(n))]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array([i for i, _ in names], pa.int32()), pa.array([n for _, n in names], pa.string())], names=["path", "ordinal", "sheet"])
 
-        for pdf in batches:
-            for data in pdf["content"]:
-                with zipfile.ZipFile(io.BytesIO(data)) as book:
-                    names = list(_sheets(book))
-                yield pd.DataFrame({"i": range(len(names)), "name": names})
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "path string, ordinal int, sheet string")
 
-    found = [r.name for r in spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "i int, name string").orderBy("i").collect()]
-    return [n for n in found if not (tables_only and is_summary(n))]
+
+def sheet_names(spark: SparkSession, path: str, *, tables_only: bool = True) -> list[str]:
+    """The sheets of a workbook in order; tables_only: without summaries."""
+    return [r.sheet for r in list_sheets(spark, path, tables_only=tables_only).orderBy("ordinal").collect()]
 
 
 def read_cells(spark: SparkSession, paths: Sequence[str], sheet: str | None = None, null_tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:

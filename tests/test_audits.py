@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from rowkeel import CardinalityRule, FkRule, NullMeaning, TableCatalog
 from rowkeel import operators as ops
-from rowkeel.functions import percent
+from rowkeel.functions import one_decimal, percent
 from rowkeel.operators.nulls import meaning_of
-from rowkeel.report import cardinality_lines, fk_lines, inventory_lines, null_lines
+from rowkeel.report import cardinality_lines, fk_lines, inventory_lines, null_lines, report, write_report
 from rowkeel.rules import ENTERPRISE_CARDINALITY, ENTERPRISE_FK, ENTERPRISE_NULLS
 
 
@@ -77,7 +77,7 @@ def test_cardinality(spark):
     assert got == [("A", "1 → N", 3, 1.5, 1, 2), ("C", "N ↔ N", 3, None, None, None)]
     with pytest.raises(KeyError):
         ops.cardinality_profile(t, [CardinalityRule("D", "p", "no", "c", "fk")])
-    assert list(cardinality_lines(ops.cardinality_profile(t, rules)))[1].endswith("avg nan, min nan, max nan")
+    assert cardinality_lines(ops.cardinality_profile(t, rules)).where("ordinal = 2").first().line.endswith("avg nan, min nan, max nan")
 
 
 def test_cardinality_of_any_kind_of_key(spark):
@@ -99,7 +99,7 @@ def test_null_profile(spark):
     assert got == [("H/t", "v", 2, 3, 66.7), ("H/t", "w", 3, 3, 100.0), ("H/t", "a", 1, 3, 33.3)]
     full = ops.null_profile(t, all_columns=True).where("table_name = 'H/e'").collect()
     assert [(r.n_null, r.n_rows, r.pct_null) for r in full] == [(0, 0, None)]
-    assert len(list(null_lines(ops.null_profile(t)))) == 3
+    assert null_lines(ops.null_profile(t)).count() == 3
 
 
 def test_null_meanings(spark):
@@ -113,7 +113,7 @@ def test_null_meanings(spark):
 def test_inventory(spark):
     t = TableCatalog({"A/x": frame(spark, [None, None], "k int"), "A/y": frame(spark, [], "k int")})
     assert [(r.table_name, r.n_rows, r.n_cols) for r in ops.table_inventory(t).orderBy("ordinal").collect()] == [("A/x", 2, 1), ("A/y", 0, 1)]
-    assert len(list(inventory_lines(ops.table_inventory(t)))) == 2
+    assert inventory_lines(ops.table_inventory(t)).count() == 2
 
 
 def test_catalog(spark):
@@ -140,7 +140,7 @@ def test_rule_packs(spark):
     t = TableCatalog({n: spark.range(3).select(*[F.col("id").alias(c) for c in sorted(cs)]) for n, cs in sorted(columns.items())})
     assert [(r.rule_id, r.refs, r.orphans) for r in ops.fk_check_long(t, ENTERPRISE_FK).orderBy("ordinal").collect()] == [(r.rule_id, 3, 0) for r in ENTERPRISE_FK]
     assert ops.cardinality_profile(t, ENTERPRISE_CARDINALITY).where("n_parents = 3 and avg_children = 1").count() == 20
-    assert len(list(fk_lines(ops.fk_check(t, ENTERPRISE_FK[:2])))) == 2
+    assert fk_lines(ops.fk_check(t, ENTERPRISE_FK[:2])).count() == 2
 
 
 def test_percent_ties(spark):
@@ -159,6 +159,26 @@ def test_fk_property(spark, child, ref):
     assert fk(spark, child, ref) == [(len(own), n, "OK" if n == 0 else f"{n} orphans")]
 
 
+def test_one_decimal(spark):
+    """As the exact value of the double rounds, ties to even."""
+    import random
+
+    draw = random.Random(5)
+    values = [0.0, -0.0, 0.05, 0.25, 0.75, 1.45, 1.85, 2.35, 0.95, 9.95, 99.95, 1e9 + 0.25, -1.25, -0.04, 1 / 3, float("inf"), float("-inf"), 123456789.05]
+    values += [k / 20 for k in range(-300, 300)] + [draw.random() * 10 ** draw.randint(0, 9) for _ in range(2000)] + [round(draw.random() * 100, 2) for _ in range(2000)]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", one_decimal(F.col("v")).alias("t")).orderBy("i").collect()
+    assert [(v, r.t) for v, r in zip(values, got)] == [(v, f"{v:.1f}") for v in values]
+    none = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(one_decimal(F.col("v")).alias("t")).collect()
+    assert [r.t for r in none] == ["nan", "nan"]
+
+
+def test_report_file_keeps_the_order(spark, tmp_path):
+    t = TableCatalog({n: frame(spark, [None, 1], "k int") for n in ("b", "a", "c")})
+    write_report(report(inventory_lines(ops.table_inventory(t)), null_lines(ops.null_profile(t))), str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "r").glob("part-*.txt")))
+    assert text.splitlines() == [f"{n:<45} {2:>5} rows {1:>2} columns" for n in "bac"] + [f"{n}.k: 1 null (50.0 %)" for n in "bac"]
+
+
 @pytest.mark.parametrize("fmt", ["json", "parquet"])
 def test_results_are_kept(spark, tmp_path, fmt):
     from rowkeel.report import write_results

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..catalog import TableCatalog
-from ..rules import parse_fk_rules
+from ..retrieval import chunk_words, rank_documents
+from ..rules import FkRule, parse_fk_rules
+from ..shared import saved
 from ..sources.parquet_dir import load_directory
 
 
@@ -102,7 +104,53 @@ def table_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "change", "n_old", "n_new", F.array_join("columns", ",").alias("columns"))
 
 
-ALL = (prior_purchase, prior_order, order_promotions, nation_promotions, user_sessions, pareto_customers, fk_cascade, fk_cascade_cycle, table_versions)
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 200 words, 40 of them shared with the next, of whole texts."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunk_words(docs, size=200, overlap=40).select("doc_id", "chunk", "start", "end", "n_words", F.sha2("chunk_text", 256).alias("sha256"))
+
+
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank best for each benchmark question."""
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and values of events by day from sketches by day and type, merged; beside exact figures, whether the estimates keep their bounds."""
+    events = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    fine = saved(ops.sketch(events, ["day", "event_type"], distinct=["user_id"], quantiles=["value"]))
+    told = ops.read_sketches(ops.merge_sketches(fine, ["day"]), shares=[0.5, 0.95]).withColumnRenamed("n_rows", "n_sketched")
+    exact = events.join(told.select("day", "q50_value", "q95_value"), "day").groupBy("day").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("users"), *[F.avg((F.col("value") < F.col(q)).cast("double")).alias(f"below_{q}") for q in ("q50_value", "q95_value")], *[F.avg((F.col("value") <= F.col(q)).cast("double")).alias(f"upto_{q}") for q in ("q50_value", "q95_value")]
+    )
+    met = exact.join(told, "day")
+    near = lambda q, share: (F.col(f"below_{q}") <= share + ops.rank_error()) & (F.col(f"upto_{q}") >= share - ops.rank_error())
+    users = F.abs(F.col("n_user_id") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * ops.distinct_error())
+    return met.select("day", "n_rows", "users", (F.col("n_sketched") == F.col("n_rows")).alias("rows_ok"), users.alias("users_ok"), near("q50_value", 0.5).alias("median_ok"), near("q95_value", 0.95).alias("q95_ok"))
+
+
+def nested_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values by path in the JSON of events: that of props, and of documents made from all columns, some of them no JSON."""
+    events = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    who = F.struct(F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user"), F.when(F.col("value") > 50, F.col("event_type")).alias("type"))
+    made = F.to_json(F.struct(F.when(F.col("k") % 5 != 0, F.col("k")).alias("k"), who.alias("who"), F.array("event_type", F.when(F.col("k") % 2 == 0, F.lit("even"))).alias("tags")))
+    docs = events.select("props", F.when(F.col("event_id") % 100 == 7, F.lit("{no json")).otherwise(made).alias("doc"), F.array(F.col("value"), F.when(F.col("k") > 50, F.lit(1.0))).alias("list"))
+    return ops.nested_null_profile(docs, ["props", "doc", "list"], json=("props", "doc"))
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing values and orphan rows by table and source, by table and in all."""
+    t = load_directory(spark, sf_dir, ["orders", "lineitem", "customer", "documents", "labels"])
+    orders = t.require("orders").withColumn("o_orderstatus", F.expr("nullif(o_orderstatus, 'P')"))
+    t.register("orders", orders)
+    t.register("finished", orders.where("o_orderstatus = 'F'"))
+    t.register("known", t.require("customer").where("c_nationkey % 5 <> 0"))
+    t.register("rated", t.require("documents").select("doc_id", "source").join(t.require("labels"), "doc_id", "left"))
+    rules = [FkRule("1", "orders", "o_custkey", "known", "c_custkey"), FkRule("2", "lineitem", "l_orderkey", "finished", "o_orderkey"), FkRule("3", "lineitem", "l_orderkey", "orders", "o_orderkey")]
+    return ops.level_profile(t, {"orders": "o_orderstatus", "lineitem": "l_linestatus", "rated": "source"}, rules)
+
+
+ALL = (prior_purchase, prior_order, order_promotions, nation_promotions, user_sessions, pareto_customers, fk_cascade, fk_cascade_cycle, table_versions, document_chunks, bm25_documents, daily_sketches, nested_nulls, levels)
 
 _CENTS = "round({} * 100)::BIGINT"
 SQL = {
@@ -127,4 +175,36 @@ SQL = {
     "table_versions": f"WITH r AS (SELECT o_orderkey, o_orderkey % 50 <> 0 AS a, o_orderkey % 53 <> 0 AS b, o_orderkey % 37 = 0 AS dearer, o_orderkey % 111 = 0 AND o_orderpriority IS NOT NULL AS blank, CASE WHEN o_orderkey % 41 = 0 THEN 2 ELSE 1 END AS n FROM orders) "
     "SELECT o_orderkey, CASE WHEN NOT a THEN 'added' WHEN NOT b THEN 'gone' ELSE 'changed' END AS change, a::BIGINT AS n_old, b::BIGINT * n AS n_new, "
     "CASE WHEN a AND b AND n = 1 THEN concat_ws(',', CASE WHEN dearer THEN 'cents' END, CASE WHEN blank THEN 'o_orderpriority' END) END AS columns FROM r WHERE (a <> b) OR (a AND b AND (dearer OR blank OR n = 2))",
+    "document_chunks": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w, length(regexp_extract(text, '^[\x20\x09-\x0D]+')) AS lead FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, greatest(1, ceil((len(w) - 40) / 160))::INT AS n FROM t WHERE len(w) > 0),
+c AS (SELECT *, unnest(range(n))::INT AS chunk FROM n),
+x AS (SELECT doc_id, chunk, lead + length(array_to_string(list_slice(w, 1, chunk * 160), '')) AS start, least(200, len(w) - chunk * 160)::INT AS n_words,
+             regexp_replace(array_to_string(list_slice(w, chunk * 160 + 1, chunk * 160 + 200), ''), '[\x20\x09-\x0D]+$', '') AS chunk_text FROM c)
+SELECT doc_id, chunk, start, start + length(chunk_text) AS "end", n_words, sha256(chunk_text) AS sha256 FROM x
+""",
+    "bm25_documents": r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []) AS w FROM documents),
+size AS (SELECT doc_id, len(w) AS size FROM d),
+whole AS (SELECT count(*) AS n, sum(size) / count(*) AS mean FROM size),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + ((SELECT n FROM whole) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term),
+scored AS (SELECT item_id, doc_id, sum(round(idf * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / (SELECT mean FROM whole))) * 1e6)::BIGINT)::BIGINT AS score
+           FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN size USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scored QUALIFY rank <= 10
+""",
+    "daily_sketches": "SELECT ts::DATE AS day, count(*) AS n_rows, count(DISTINCT user_id) AS users, true AS rows_ok, true AS users_ok, true AS median_ok, true AS q95_ok FROM events GROUP BY 1",
+    "nested_nulls": "WITH e AS (SELECT *, (props->>'$.k')::INT AS k, event_id % 100 = 7 AS bad FROM events), "
+    "c AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE bad OR k % 5 = 0) AS k, count(*) FILTER (WHERE NOT bad AND k % 2 <> 0) AS tag, count(*) FILTER (WHERE bad OR value <= 50) AS type, "
+    "count(*) FILTER (WHERE bad OR user_id % 3 = 0) AS usr, count(*) FILTER (WHERE k <= 50) AS second FROM e), "
+    "p AS (" + " UNION ALL ".join(f"SELECT '{p}' AS path, ({a})::BIGINT AS n_null, ({n})::BIGINT AS n_rows FROM c" for p, a, n in (("props", 0, "n"), ("props.k", 0, "n"), ("doc", "bad", "n"), ("doc.k", "k", "n"), ("doc.tags", "bad", "n"), ("doc.tags[]", "tag", "2 * (n - bad)"), ("doc.who", "bad", "n"), ("doc.who.type", "type", "n"), ("doc.who.user", "usr", "n"), ("list", 0, "n"), ("list[]", "second", "2 * n"))) + ") "
+    "SELECT *, round_even(n_null / n_rows * 100, 1) AS pct_null FROM p",
+    "levels": "WITH o AS (SELECT *, nullif(o_orderstatus, 'P') AS source FROM orders), k AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 <> 0), f AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'), "
+    "x AS (SELECT 'orders' AS table_name, source, 6 AS v, (source IS NULL)::INT AS m, 1 AS refs, (o_custkey NOT IN (FROM k))::INT AS lost FROM o "
+    "UNION ALL SELECT 'lineitem', l_linestatus, 11, 0, 2, (l_orderkey NOT IN (FROM f))::INT + (l_orderkey NOT IN (SELECT o_orderkey FROM orders))::INT FROM lineitem "
+    "UNION ALL SELECT 'rated', source, 4, (doc_id IS NULL)::INT + (source IS NULL)::INT + (quality IS NULL)::INT + (toxic IS NULL)::INT, 0, 0 FROM documents LEFT JOIN labels USING (doc_id)), "
+    "g AS (SELECT CASE grouping(table_name, source) WHEN 0 THEN 'source' WHEN 1 THEN 'table' ELSE 'all' END AS level, table_name, source, count(*) AS n_rows, sum(v)::BIGINT AS n_values, sum(m)::BIGINT AS n_null, sum(refs)::BIGINT AS n_refs, sum(lost)::BIGINT AS n_orphans "
+    "FROM x GROUP BY GROUPING SETS ((table_name, source), (table_name), ())) "
+    "SELECT level, table_name, source, n_rows, n_values, n_null, round_even(n_null / n_values * 100, 1) AS pct_null, n_refs, n_orphans, CASE WHEN n_refs > 0 THEN round_even(n_orphans / n_refs * 100, 1) END AS pct_orphans FROM g",
 }

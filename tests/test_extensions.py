@@ -208,3 +208,85 @@ def test_difference_reads_only_touched_leaves(spark):
         ops.table_difference(a, b.withColumnRenamed("v", "w"), ["id"])
     with pytest.raises(ValueError):
         ops.table_difference(a, b, ["nope"])
+
+
+def test_sketches_merge(spark):
+    rows = [(g, f"u{i % (300 * (g + 1))}", float(i), i % 50) for g in range(3) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, u string, v double, w int")
+    fine = ops.sketch(df, ["g", (F.col("w") % 2).alias("half")], distinct=["u", "w", "v"], quantiles=["v"])
+    merged = {r.g: r for r in ops.read_sketches(ops.merge_sketches(fine, ["g"]), shares=[0.25, 0.5]).collect()}
+    whole = {r.g: r for r in ops.read_sketches(ops.sketch(df, ["g"], distinct=["u", "w", "v"], quantiles=["v"]), shares=[0.25, 0.5]).collect()}
+    for g in range(3):
+        for got in (merged[g], whole[g]):
+            assert got.n_rows == 4000 and abs(got.n_u - 300 * (g + 1)) <= 300 * (g + 1) * ops.distinct_error() and got.n_w == 50
+            assert abs(got.n_v - 4000) <= 4000 * ops.distinct_error()
+            assert all(abs(q - share * 4000) <= ops.rank_error() * 4000 for q, share in ((got.q25_v, 0.25), (got.q50_v, 0.5)))
+    text = plan(ops.sketch(df, ["g"], distinct=["u"]))
+    assert "partial_hll_sketch_agg" in text and len(re.findall("Exchange hashpartitioning", text)) == 1
+
+
+def test_sketches_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, None), (1, None, float("nan")), (2, "x", 5.0)], "g int, u string, v double")
+    held = ops.sketch(df, ["g"], distinct=["u"], quantiles=["v"])
+    got = sorted(map(tuple, ops.read_sketches(ops.merge_sketches(held, ["g"])).collect()))
+    assert got == [(1, 2, 0, None), (2, 1, 1, 5.0)]
+    assert ops.read_sketches(ops.sketch(df.where("false"), ["g"], distinct=["u"], quantiles=["v"])).count() == 0
+
+
+NESTED = "i int, s struct<a: double, t: array<struct<x: int, y: array<string>>>>, m map<string, struct<p: int>>"
+
+
+def test_nested_types(spark):
+    nan = float("nan")
+    rows_ = [
+        (1, (nan, [(1, ["a", None]), None, (None, None)]), {"k": (1,), "l": None}),
+        (None, (2.0, None), {}),
+        (3, None, None),
+        (4, (None, []), {"k": (None,)}),
+    ]
+    df = spark.createDataFrame(rows_, NESTED)
+    got = {r.path: (r.n_null, r.n_rows, r.pct_null) for r in ops.nested_null_profile(df, ["i", "s", "m"]).collect()}
+    assert got == {
+        "i": (1, 4, 25.0),
+        "s": (1, 4, 25.0),
+        "s.a": (3, 4, 75.0),
+        "s.t": (2, 4, 50.0),
+        "s.t[]": (1, 3, 33.3),
+        "s.t[].x": (2, 3, 66.7),
+        "s.t[].y": (2, 3, 66.7),
+        "s.t[].y[]": (1, 2, 50.0),
+        "m": (1, 4, 25.0),
+        "m{}": (1, 3, 33.3),
+        "m{}.p": (2, 3, 66.7),
+    }
+    none = {r.path: (r.n_null, r.n_rows, r.pct_null) for r in ops.nested_null_profile(df.where("false"), ["i", "m"]).collect()}
+    assert none == {p: (0, 0, None) for p in ("i", "m", "m{}", "m{}.p")}
+    assert len(re.findall("Scan", plan(ops.nested_null_profile(df, ["i", "s", "m"])))) == 1
+
+
+def test_nested_json(spark):
+    texts = ['{"a": 1, "b": {"c": null, "d": "x"}}', '{"a": null, "b": {}}', '{"b": null}', "no json", None, '{"a": 2.5, "b": {"d": 7}, "e": [1, null]}', "[1]"]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    got = {r.path: (r.n_null, r.n_rows) for r in ops.nested_null_profile(df.where("coalesce(j, '') not like '[%'"), ["j"], json=("j",)).collect()}
+    assert got == {"j": (2, 6), "j.a": (4, 6), "j.b": (3, 6), "j.b.c": (6, 6), "j.b.d": (4, 6), "j.e": (5, 6), "j.e[]": (1, 2)}
+    # Objects here and an array there: the whole is one variant.
+    assert {r.path: r.n_null for r in ops.nested_null_profile(df, ["j"], json=("j",)).collect()} == {"j": 2}
+    assert [(r.path, r.n_null, r.n_rows) for r in ops.nested_null_profile(df.where("false"), ["j"], json=("j",)).collect()] == [("j", 0, 0)]
+
+
+def test_levels(spark):
+    t = catalog(spark, a=([(1, "x"), (2, None), (9, "x"), (None, None)], "k int, src string"), b=([(1.0, 5), (float("nan"), 6)], "f double, n int"), r=([(1,), (2,)], "k int"))
+    got = {(r.level, r.table_name, r.source): (r.n_rows, r.n_values, r.n_null, r.n_refs, r.n_orphans, r.pct_orphans) for r in ops.level_profile(t, {"a": "src", "b": "f"}, [FkRule("1", "a", "k", "r", "k")]).collect()}
+    assert got == {
+        ("source", "a", "x"): (2, 4, 0, 2, 1, 50.0),
+        ("source", "a", None): (2, 4, 3, 1, 0, 0.0),
+        ("source", "b", "1.0"): (1, 2, 0, 0, 0, None),
+        ("source", "b", None): (1, 2, 1, 0, 0, None),
+        ("table", "a", None): (4, 8, 3, 3, 1, 33.3),
+        ("table", "b", None): (2, 4, 1, 0, 0, None),
+        ("all", None, None): (6, 12, 4, 3, 1, 33.3),
+    }
+    with pytest.raises(KeyError):
+        ops.level_profile(t, {"a": "nope"})
+    with pytest.raises(ValueError):
+        ops.level_profile(t, {})

@@ -1,9 +1,11 @@
-"""Every audit query against its SQL in DuckDB."""
+"""Every audit query against its SQL in DuckDB, on the smallest and the largest test tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
+from conftest import TESTDATA
 
 from rowkeel.plans import registry
 from rowkeel.sources.parquet_dir import TEST_TABLES
@@ -17,12 +19,15 @@ def _rows(columns, rows):
     return sorted(columns), sorted(out, key=repr)
 
 
-@pytest.fixture(scope="module")
-def duck(sf_dir):
+@pytest.fixture(scope="module", params=["sf0.001", "sf0.1"])
+def tables(request):
+    path = f"{TESTDATA}/{request.param}"
+    if not os.path.isdir(path):
+        pytest.skip(f"no {path}")
     con = duckdb.connect()
     for t in TEST_TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    return con
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet'")
+    return path, con
 
 
 def test_every_query_has_sql():
@@ -30,7 +35,8 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_query_equals_sql(spark, sf_dir, duck, name):
-    df = registry.queries()[name](spark, sf_dir)
-    got = duck.execute(SQL[name])
+def test_query_equals_sql(spark, tables, name):
+    path, con = tables
+    df = registry.queries()[name](spark, path)
+    got = con.execute(SQL[name])
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows([d[0] for d in got.description], got.fetchall())

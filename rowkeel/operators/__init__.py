@@ -3,7 +3,7 @@
 from .cardinality import cardinality_profile, group_sizes
 from .cascade import cascade, cascade_counts
 from .difference import table_difference
-from .foreign_keys import distinct_keys, fk_check, fk_check_long, orphan_keys, orphan_rows, skipped_rules
+from .foreign_keys import distinct_keys, fk_check, fk_check_joins, fk_check_long, orphan_keys, orphan_rows, skipped_rules
 from .inventory import table_inventory
 from .levels import level_profile
 from .nested import json_schema, nested_null_profile
@@ -21,6 +21,7 @@ __all__ = [
     "distinct_error",
     "distinct_keys",
     "fk_check",
+    "fk_check_joins",
     "fk_check_long",
     "group_sizes",
     "interval_join",

@@ -119,13 +119,16 @@ def _closed(catalog: TableCatalog, inner: list[FkRule], start: Mapping[str, Data
             if t == r.child_table:
                 edge = df.where(is_present(df, r.child_column) & is_present(df, c))
                 edges.append(edge.select(F.lit(f"{r.ref_table}.{r.ref_column}").alias("column"), _key(edge, r.child_column, False).alias("key"), F.lit(f"{t}.{c}").alias("to_column"), _key(edge, c, False).alias("to_key")))
-    known = delta = saved(least(first))
+    delta = saved(least(first))
+    found = [delta]
     if not edges:
-        return known
+        return delta
     steps = saved(reduce(DataFrame.unionByName, edges).distinct())
-    while not delta.isEmpty():
+    while True:
         near = steps.join(delta, ["column", "key"]).select(F.col("to_column").alias("column"), F.col("to_key").alias("key"), (F.col("far") + 1).alias("far"))
-        old = known.withColumnRenamed("far", "old")
+        old = least(found).withColumnRenamed("far", "old")
         delta = saved(least([near]).join(old, ["column", "key"], "left").where("old IS NULL OR far < old").drop("old"))
-        known = saved(least([known, delta]))
-    return known
+        if delta.isEmpty():
+            return least(found)
+        # Each round writes what is new only; the rounds are put together now and then, so that plans stay short.
+        found = [*found, delta] if len(found) < 8 else [saved(least([*found, delta]))]

@@ -108,6 +108,10 @@ def fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fk_check(_tables(spark, sf_dir), FK_RULES).select(*_FK)
 
 
+def fk_check_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.fk_check_joins(_tables(spark, sf_dir), FK_RULES).select(*_FK)
+
+
 def fk_check_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.fk_check_long(_tables(spark, sf_dir), [*FK_RULES, LOOSE]).select(*_FK)
 
@@ -301,6 +305,7 @@ _ALL: tuple[Query, ...] = (
     null_meaning,
     null_rows,
     fk_check,
+    fk_check_joins,
     fk_check_long,
     fk_check_partial_ref,
     fk_orphan_keys,
@@ -422,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
         "null_meaning": f"SELECT table_name, column_name, n_null, pct_null, CASE column_name WHEN 'quality' THEN 'not rated' WHEN 'toxic' THEN 'not screened' END AS meaning FROM ({outer_nulls})",
         "null_rows": f"SELECT ((quality IS NULL)::INT + (toxic IS NULL)::INT + (doc_id IS NULL)::INT + (lang IS NULL)::INT + (source IS NULL)::INT + (n_chars IS NULL)::INT)::BIGINT AS n_missing, count(*) AS n_rows FROM {_OUTER} GROUP BY 1",
         "fk_check": _with_status(*map(_fk_sql, FK_RULES)),
+        "fk_check_joins": _with_status(*map(_fk_sql, FK_RULES)),
         "fk_check_long": _with_status(*map(_fk_sql, [*FK_RULES, LOOSE])),
         "fk_check_partial_ref": _with_status(_fk_sql(PARTIAL, _ORDERS_F)),
         "fk_orphan_keys": _ORPHANS,

@@ -22,7 +22,7 @@ def fk(spark, child, ref, child_type="int", ref_type="int", check=ops.fk_check):
     return [(r.refs, r.orphans, r.status) for r in check(t, [FkRule("X", "c", "fk", "r", "k")]).collect()]
 
 
-both_forms = pytest.mark.parametrize("check", [ops.fk_check, ops.fk_check_long])
+both_forms = pytest.mark.parametrize("check", [ops.fk_check_joins, ops.fk_check_long])
 
 
 @both_forms

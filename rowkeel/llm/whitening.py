@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import save
 
+_RUN = 8192
 _BLOCK, _BITS, _SLICES = 1024, 21, 5  # 2 * _BITS + log2(_BLOCK) fit in the 53 bits of a double
 #: Scaled entries are held within this bound, so that they and their sums stay exact.
 _LIMIT = 1 << 44
@@ -130,8 +131,8 @@ _PART = "dim int, i int, own int, high array<double>, low array<double>"
 def _gram(rows: DataFrame, width, values, fan: int = 16) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Double-double outer products by length of vector; values(dim, matrix) gives high and low parts, width(dim) their columns.
 
-    A task sends a row for each row of its matrix; `fan` of those of each row of the matrix, each the merged part of
-    many tasks, are left for the last merge, however many tasks there are.
+    A task sends its matrix in runs of rows, of about _RUN entries each; `fan` of each run, each the merged part of many tasks, are left for
+    the last merge, however many tasks there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +142,9 @@ def _gram(rows: DataFrame, width, values, fan: int = 16) -> dict[int, tuple[np.n
                 held.setdefault(dim, Gram(width(dim))).put(*values(dim, x))
         own = TaskContext.get().partitionId() % fan
         for dim, g in held.items():
-            k = len(g.high)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([dim] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([own] * k, pa.int32()), pa.array(list(g.high), pa.list_(pa.float64())), pa.array(list(g.low), pa.list_(pa.float64()))],
-                names=["dim", "i", "own", "high", "low"],
-            )
+            step = max(1, _RUN // len(g.high))
+            for i in range(0, len(g.high), step):
+                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "i": pa.array([i], pa.int32()), "own": pa.array([own], pa.int32()), "high": [g.high[i : i + step].ravel()], "low": [g.low[i : i + step].ravel()]})
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         high, low = part["high"].iloc[0], part["low"].iloc[0]
@@ -157,9 +156,9 @@ def _gram(rows: DataFrame, width, values, fan: int = 16) -> dict[int, tuple[np.n
     parts = rows.select("x").mapInArrow(run, _PART)
     merged = parts.groupBy("dim", "i", "own").applyInPandas(merge, _PART).groupBy("dim", "i").applyInPandas(merge, _PART)
     out: dict[int, list] = {}
-    for r in merged.select("dim", "i", "high", "low").collect():  # a row for each dimension
+    for r in merged.select("dim", "i", "high", "low").collect():  # one matrix a length
         out.setdefault(r.dim, []).append((r.i, r.high, r.low))
-    return {dim: tuple(np.array([r[k] for r in sorted(own)]) for k in (1, 2)) for dim, own in out.items()}
+    return {dim: tuple(np.concatenate([r[k] for r in sorted(own)]).reshape(width(dim), -1) for k in (1, 2)) for dim, own in out.items()}
 
 
 def solve(high: np.ndarray, low: np.ndarray, n: int, components: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

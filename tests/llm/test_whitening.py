@@ -48,7 +48,9 @@ def test_two_sum():
     assert [Fraction(a) + Fraction(b) for a, b in zip(s, e)] == [10**16 + 1, 1 + Fraction(1, 2**60)]
 
 
-def test_equals_exact_covariance(spark):
+@pytest.mark.parametrize("run", [8192, 12])
+def test_equals_exact_covariance(spark, monkeypatch, run):
+    monkeypatch.setattr(whitening, "_RUN", run)  # 12: the matrix in three parts
     rng = np.random.default_rng(1)
     rows = [(i, (x * [3, 1, 0.5, 2, 0.1, 1]).tolist()) for i, x in enumerate(rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6)))]
     got = found(spark.createDataFrame(rows, SCHEMA).repartition(5), components=4)

@@ -94,7 +94,7 @@ def test_pack(stages):
 
 
 def test_registered():
-    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 10
+    assert "pipeline" in entry.queries() and len([q for q in entry.queries() if q.startswith("op")]) == 13
 
 
 def test_odd(spark, clashing, no_docs, sf_dir):

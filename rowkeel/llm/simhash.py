@@ -11,9 +11,11 @@ Only a spanning forest leaves each task (each fingerprint with the smallest link
 a group of copies of any size yields rows in proportion to its members; alternating large-star and small-star
 rounds then give the connected components.
 
-Near copies by similarity (drop_near_copies) need a budget too wide for pigeonhole. There the tries stand
-over permuted fingerprints and start at subtrees that share a few drawn bits, as many tries as leave a
-pair of `_PLAN_BITS` differing bits a 1 in 100 chance to be missed. What they find are candidates: their shingle
+Near copies by similarity (drop_near_copies) need a budget too wide for pigeonhole. There the tries stand over
+the fingerprints of sets that agree in a band of minima: _BANDS tries a set however many documents there are, and a pair of
+similarity 0.8 shares none with a chance of 1 in 5,000. Sets in a band of more than max_task, and those with many candidates, go down
+tries over permuted fingerprints, whose subtrees share a few drawn bits, as many tries as leave a
+pair of `_PLAN_BITS` differing bits a 1 in 100 chance to be missed. What tries find are candidates: their shingle
 sets decide.
 """
 
@@ -33,6 +35,9 @@ from .common import NO_ID, key_of, mark_members, raw, save, unpacked
 
 _CHUNK = 1 << 16
 _PLAN_BITS = 12
+#: Bands of a set's minima, and minima a band: sets of similarity J share a band with 1 - (1 - J ** _ROWS) ** _BANDS.
+_BANDS, _ROWS = 28, 6
+_TURNS = np.random.default_rng(31).integers(0, 1 << 31, _BANDS * _ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def fingerprint(data: bytes, words: int = 3) -> int:
@@ -335,8 +340,8 @@ def shingles(data: bytes, words: int) -> set[bytes]:
     return {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
 
 
-def _sketch(data: bytes, words: int) -> tuple[int, int, int, int]:
-    """Digest of the shingle set, two independent SimHashes of it and its size."""
+def _sketch(data: bytes, words: int) -> tuple[int, int, int, int, np.ndarray]:
+    """Digest of the shingle set, two independent SimHashes of it, its size and the digests of its bands."""
     h = np.sort(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in shingles(data, words)), np.uint64))
     ones = np.zeros((2, 64), np.int64)
     for i in range(0, len(h), _CHUNK):
@@ -346,7 +351,16 @@ def _sketch(data: bytes, words: int) -> tuple[int, int, int, int]:
         for k, x in enumerate((part, again ^ (again >> np.uint64(29)))):
             ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     fp, more = np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
-    return xxhash.xxh3_64_intdigest(h.tobytes()), fp, more, len(h)
+    return xxhash.xxh3_64_intdigest(h.tobytes()), fp, more, len(h), _bands(h)
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """A digest of each band: the minima of h under _ROWS hashes."""
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(_TURNS), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), 256):
+        np.minimum(low, (short[at : at + 256, None] * _TURNS).min(axis=0), out=low)
+    return np.array([xxhash.xxh32_intdigest(x.tobytes()) for x in low.reshape(_BANDS, _ROWS)], np.uint32).view(np.int32)
 
 
 def _tries(n: int) -> tuple[int, np.ndarray]:
@@ -358,8 +372,9 @@ def _tries(n: int) -> tuple[int, np.ndarray]:
 
 
 def _best(x: np.ndarray, y: np.ndarray, err: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The `upto` nearest y of each x."""
+    """The `upto` nearest y of each x. A pair met again, which has the same err, counts once."""
     at = np.lexsort((y, err, x))
+    at = at[np.r_[np.ones(min(len(at), 1), bool), (x[at[1:]] != x[at[:-1]]) | (y[at[1:]] != y[at[:-1]])]]
     x, y, err = x[at], y[at], err[at]
     first = np.r_[np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]
     rank = np.arange(len(x)) - np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -398,28 +413,44 @@ def _first_met(x: np.ndarray, rot: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(nodes: DataFrame, n: int, similarity: float, budget: int, upto: int, max_task: int) -> DataFrame:
-    """nodes: sig, fp, more, n. Returns x, y, err: for each sig the `upto` nearest at least that the tries find, each pair both ways."""
-    pairs, masks = _permuted(nodes.select("sig", "fp", "more", "n"), n, budget, max_task)
+def _candidates(nodes: DataFrame, similarity: float, budget: int, upto: int, max_task: int) -> DataFrame:
+    """nodes: sig, fp, more, n, bands. Returns x, y, err: for each sig the `upto` nearest at least that the tries find, each pair both ways."""
+    band = F.col("band").cast("long") * F.lit(1 << 32) + F.col("digest").cast("long")
+    tries = nodes.select("sig", "fp", "more", "n", F.posexplode("bands").alias("band", "digest"))
+    tries = tries.select(band.alias("rot"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("fp").alias("f"), "sig", "more", "n")
+    hot = save(tries.groupBy("rot").count().where(F.col("count") > max_task).select("rot"))
+    crowded = not hot.isEmpty()
+    few = tries.join(hot, "rot", "left_anti") if crowded else tries
+    found = _nearest_in(few.repartition("rot").sortWithinPartitions("rot", "f"), similarity, budget, upto)
+    if crowded:
+        many = save(tries.join(hot, "rot", "left_semi").select("sig", F.col("f").alias("fp"), "more", "n").distinct())
+        pairs, _ = _permuted(many, many.count(), budget, max_task)
+        found = found.unionByName(_nearest_in(pairs, similarity, budget, upto))
+    return found.repartition("x").distinct()
+
+
+def _nearest_in(pairs: DataFrame, similarity: float, budget: int, upto: int) -> DataFrame:
+    """x, y, err: for each sig of sorted node pairs the `upto` nearest of its task, each pair both ways."""
+    whole = "fp" if "fp" in pairs.columns else "f"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_tasks(batches):
-            sig, size, rot = (rows[c] for c in ("sig", "n", "rot"))
-            fp, more = (rows[c].astype(np.int64).view(np.uint64) for c in ("fp", "more"))
+            sig, size = rows["sig"], rows["n"]
+            fp, more = (rows[c].astype(np.int64).view(np.uint64) for c in (whole, "more"))
             held, waiting = [], 0
             for i, j in _near_pairs(rows, budget):
                 on = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
                 i, j = i[on], j[on]
                 err = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32) + np.bitwise_count(more[i] ^ more[j])
-                on = (err <= 2 * budget) & _first_met(fp[i] ^ fp[j], rot[i], masks)
+                on = err <= 2 * budget
                 i, j, err = (x[on] for x in (i, j, err))
-                held.append((np.r_[i, j], np.r_[j, i], np.r_[err, err]))
+                held.append((np.r_[sig[i], sig[j]], np.r_[sig[j], sig[i]], np.r_[err, err]))
                 waiting += len(i)
                 if waiting > 1 << 20:  # bound what is held to the nearest of each
                     held, waiting = [_best(*(np.concatenate(x) for x in zip(*held)), upto)], 0
             if held:
                 x, y, err = _best(*(np.concatenate(x) for x in zip(*held)), upto)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[x]), pa.array(sig[y]), pa.array(err.astype(np.int32))], names=["x", "y", "err"])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(err.astype(np.int32))], names=["x", "y", "err"])
 
     return pairs.mapInArrow(run, "x long, y long, err int")
 
@@ -517,13 +548,13 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, words: int
 
 
 def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget: int, max_task: int, nearest: int = 2) -> DataFrame:
-    """marked: r, sig, fp, more, n, row.text. Returns sig, root: the component of each distinct shingle set that is linked to another.
+    """marked: r, sig, fp, more, n, bands, row.text. Returns sig, root: the component of each distinct shingle set that is linked to another.
 
     The `nearest` candidates of each set are confirmed by the texts. A pair that this leaves out has more candidates than that
     at both ends: such sets, those of large groups of near copies, are then judged among themselves.
     """
-    nodes = save(marked.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n"), F.min("r").alias("first")))
-    found = _candidates(nodes, nodes.count(), similarity, budget, nearest + 1, max_task)
+    nodes = save(marked.groupBy("sig").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("r").alias("first")))
+    found = _candidates(nodes, similarity, budget, nearest + 1, max_task)
     ranked = save(found.withColumn("rank", F.row_number().over(Window.partitionBy("x").orderBy("err", "y"))))
     pairs = ranked.where(F.col("rank") <= nearest).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = save(_confirmed(save(pairs), nodes, marked, words, similarity))
@@ -538,18 +569,19 @@ def near_copy_roots(marked: DataFrame, *, words: int, similarity: float, budget:
     return linked.select(F.col("node").alias("sig"), "root")
 
 
-def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, budget: int = 16, max_task: int = 20_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, budget: int = 24, max_task: int = 20_000) -> DataFrame:
     """docs with one row of each group of near copies, that of its smallest doc_id (null last). Columns stay, whatever their names.
 
     Near copies: texts whose sets of word shingles have a Jaccard similarity of `similarity` or more, and what they link to.
-    Candidates differ in `budget` or fewer of the 64 bits of their SimHash; each link is confirmed by the sets. Texts without
+    Candidates share a band of minima and differ in `budget` or fewer of the 64 bits of their SimHash; each link is confirmed by the sets. Texts without
     words, null ones included, are copies of each other.
     """
 
-    @F.pandas_udf("sig long, fp long, more long, n long")
+    @F.pandas_udf("sig long, fp long, more long, n long, bands array<int>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        own = np.array([_sketch(x, words) for x in texts], np.uint64).reshape(-1, 4).view(np.int64)
-        return pd.DataFrame(own, columns=["sig", "fp", "more", "n"])
+        told = [_sketch(x, words) for x in texts]
+        own = np.array([t[:4] for t in told], np.uint64).reshape(-1, 4).view(np.int64)
+        return pd.DataFrame(own, columns=["sig", "fp", "more", "n"]).assign(bands=pd.Series([t[4] for t in told], dtype=object))
 
     marked = _sketched(docs, run)
     roots = near_copy_roots(marked, words=words, similarity=similarity, budget=budget, max_task=max_task)

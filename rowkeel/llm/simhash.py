@@ -35,6 +35,7 @@ from .common import NO_ID, key_of, mark_members, raw, save, unpacked
 
 _CHUNK = 1 << 16
 _PLAN_BITS = 12
+_NEAR_BLOCK = 1 << 17  # pairs of wide budgets that a task compares, and candidates that it holds, at a time
 #: Bands of a set's minima, and minima a band: sets of similarity J share a band with 1 - (1 - J ** _ROWS) ** _BANDS.
 _BANDS, _ROWS = 28, 6
 _TURNS = np.random.default_rng(31).integers(0, 1 << 31, _BANDS * _ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -159,7 +160,7 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
-def _near_pairs(rows: dict[str, np.ndarray], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_pairs(rows: dict[str, np.ndarray], budget: int, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Descend all node pairs of rows together: indexes of the rows whose fingerprints differ in `budget` or fewer bits."""
     f, a, b, rot, depth = (rows[n] for n in ("f", "a", "b", "rot", "depth"))
     f = f.astype(np.int64).view(np.uint64)
@@ -181,7 +182,7 @@ def _near_pairs(rows: dict[str, np.ndarray], budget: int) -> Iterator[tuple[np.n
         mid = mids[np.searchsorted(mids, l[two] + 1)] if two.any() else l[two]
         err = np.bitwise_count(a[l[two]] ^ b[l[two]])
         start = (np.r_[l[one], l[two]], np.r_[h[one], mid], np.r_[l[one], mid], np.r_[h[one], h[two]], np.r_[np.zeros(one.sum(), np.int64), err.astype(np.int64)])
-        yield from _descend_local(f, start, int(d), budget)
+        yield from _descend_local(f, start, int(d), budget, block=block)
 
 
 def _join_tasks(rows: dict[str, np.ndarray], budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +216,7 @@ def _descend_local(f: np.ndarray, start: tuple, depth: int, budget: int, leaf: i
     todo = [(depth, *start)]
     while todo:
         d, al, ah, bl, bh, err = todo.pop()
-        if len(al) > 1 << 18:  # bound the frontier: the halves are walked one after the other
+        if len(al) > block >> 3:  # bound the frontier: the halves are walked one after the other
             k = len(al) // 2
             todo += [(d, *(x[:k] for x in (al, ah, bl, bh, err))), (d, *(x[k:] for x in (al, ah, bl, bh, err)))]
             continue
@@ -438,7 +439,7 @@ def _nearest_in(pairs: DataFrame, similarity: float, budget: int, upto: int) ->
             sig, size = rows["sig"], rows["n"]
             fp, more = (rows[c].astype(np.int64).view(np.uint64) for c in (whole, "more"))
             held, waiting = [], 0
-            for i, j in _near_pairs(rows, budget):
+            for i, j in _near_pairs(rows, budget, _NEAR_BLOCK):
                 on = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
                 i, j = i[on], j[on]
                 err = np.bitwise_count(fp[i] ^ fp[j]).astype(np.int32) + np.bitwise_count(more[i] ^ more[j])
@@ -446,7 +447,7 @@ def _nearest_in(pairs: DataFrame, similarity: float, budget: int, upto: int) ->
                 i, j, err = (x[on] for x in (i, j, err))
                 held.append((np.r_[sig[i], sig[j]], np.r_[sig[j], sig[i]], np.r_[err, err]))
                 waiting += len(i)
-                if waiting > 1 << 20:  # bound what is held to the nearest of each
+                if waiting > _NEAR_BLOCK:  # bound what is held to the nearest of each
                     held, waiting = [_best(*(np.concatenate(x) for x in zip(*held)), upto)], 0
             if held:
                 x, y, err = _best(*(np.concatenate(x) for x in zip(*held)), upto)
@@ -507,7 +508,7 @@ def _crowded_links(left: DataFrame, marked: DataFrame, words: int, similarity: f
                 return c
 
             links = []
-            for i, j in _near_pairs(rows, budget):
+            for i, j in _near_pairs(rows, budget, _NEAR_BLOCK):
                 on = (comp[i] != comp[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
                 i, j = i[on], j[on]
                 on = _first_met(fp[i] ^ fp[j], rot[i], masks)

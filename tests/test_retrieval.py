@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowkeel.retrieval import chunk_words, rank_documents
+from rowkeel.retrieval import bm25, chunk_words, rank_documents
 
 texts = st.lists(st.sampled_from(["a", "bb", "é", "漢字", " ", "  ", "\n", "\t", "\x0b", " ", "\x85", "😀", "x y"]), max_size=30).map("".join)
 
@@ -92,3 +92,22 @@ def test_no_shuffle_by_term(spark):
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert len(exchanges) == 2 and exchanges[0].startswith("q#") and exchanges[1].startswith("d#") and plan.index("WindowGroupLimit") < plan.index("Exchange hashpartitioning")
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_tasks_grow_with_the_scores(spark):
+    """A task's scores are bounded at any size: neither shuffle partitions nor bytes, both alike here, set how many tasks there are."""
+
+    def tasks(n_docs):
+        docs = spark.range(n_docs).select(F.col("id").alias("doc_id"), F.lit("the word").alias("text"))
+        queries = spark.range(100).select(F.col("id").alias("item_id"), F.lit("the").alias("text"))
+        plan = rank_documents(docs, queries)._jdf.queryExecution().executedPlan().toString()
+        return int(re.search(r"Exchange hashpartitioning\(d#\w+, (\d+)\)", plan)[1])
+
+    assert tasks(5_000) == 4 and tasks(50_000) == 10
+
+
+def test_ranking_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "_TASK_WORDS", 50)
+    monkeypatch.setattr(bm25, "_TASK_SCORES", 2)
+    docs = spark.createDataFrame(DOCS, "doc_id int, text string").repartition(3)
+    assert {tuple(r) for r in rank_documents(docs, spark.createDataFrame(ASKED, "item_id int, text string"), max_terms=3).collect()} == brute(DOCS, ASKED, 10)

@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +26,9 @@ from pyspark.sql.window import Window
 
 from .common import save
 
-_CACHE_CHUNKS, _CACHE_STEMS = 120_000, 300_000
+_CACHE_CHUNKS, _CACHE_STEMS = 400_000, 300_000
 _CACHED = 48  # longest entry kept, in characters
+_LOT = 1 << 20  # bytes of texts encoded at once, but for a longer one
 #: ASCII punctuation but the apostrophe, which starts contractions, and the brackets of special tokens.
 _MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
@@ -60,6 +63,7 @@ class WordTokens:
 
     The vocabulary drops white space and its pre-tokenizer never joins what blanks separate, so a text's ids are
     its chunks' ids in a row. Texts are cut at spaces and line feeds only: all else stays with the tokenizer.
+    A-Z are lower-cased before, as the tokenizer does later, wherever that can't touch what it does first.
     A chunk of letters with ASCII punctuation after it is two pre-tokens; its letters are looked up alone. New
     letter runs are encoded many at a time and told apart by the tokens that end a word.
     """
@@ -74,6 +78,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.chunks, self.stems = {"": b""}, {"": b""}
+        self.added = [a["content"].lower() for a in json.loads(self.tokenizer.to_str())["added_tokens"]]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -90,13 +95,21 @@ class WordTokens:
                 out.update(zip(lot, self._encode(lot)))
         return out
 
+    def _lower(self, text: str) -> str:
+        """text with A-Z lower-cased, unless an added token (matched by case) may show or NFC (which comes first) would change either form."""
+        plain = text.isascii()
+        low = text.lower() if plain else text.encode().lower().decode()
+        if low == text or any(a in low for a in self.added):
+            return text
+        return low if plain or unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low) else text
+
     def _resolve(self, chunks: set[str]) -> dict[str, bytes]:
         pairs, whole = {}, []
         for c in chunks:
             stem = c.rstrip(_MARKS)
-            low = stem.lower()
-            if low.isalpha() and stem.isalpha():
-                pairs[c] = (low if stem.isascii() else stem), c[len(stem) :]
+            plain = stem.isascii()
+            if stem.isalpha() and (plain or stem.lower().isalpha()):
+                pairs[c] = (stem.lower() if plain else stem), c[len(stem) :]
             else:
                 whole.append(c)
         stems = self.stems
@@ -113,17 +126,16 @@ class WordTokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._encode(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         cache = self.chunks
-        found = [list(map(cache.get, words)) for words in split]
-        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
-        own = self._resolve({words[i] for words, at in zip(split, holes) for i in at})
-        if len(cache) < _CACHE_CHUNKS:
-            cache.update((k, v) for k, v in own.items() if len(k) <= _CACHED)
-        for ids, words, at in zip(found, split, holes):
-            for i in at:
-                ids[i] = own[words[i]]
-        return [b"".join(ids) for ids in found]
+        own = self._resolve(set().union(*split).difference(cache))
+        full = len(cache) >= _CACHE_CHUNKS
+        cache.update(own)
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for k in own:
+            if full or len(k) > _CACHED:
+                del cache[k]
+        return out
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -149,8 +161,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int
         tokens, part, seen = _tokens(tokenizer), TaskContext.get().partitionId(), [0] * (max_len + 1)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(i, 256).to_pylist(), [t or "" for t in b.column(1).slice(i, 256).to_pylist()]
+            lot = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _LOT
+            cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for i, z in zip(cuts, cuts[1:]):
+                ids, texts = b.column(0).slice(i, z - i).to_pylist(), [t or "" for t in b.column(1).slice(i, z - i).to_pylist()]
                 out = []
                 for doc, data in zip(ids, tokens.encode(texts)):
                     data += end

@@ -20,6 +20,24 @@ def test_tokens_equal_the_tokenizer():
     assert own.encode(texts) == want and own.encode(texts) == want  # the second time from the caches
 
 
+def test_case_is_folded_before_the_caches():
+    own, whole = packing.WordTokens(tokenizer_path()), tokenizers.Tokenizer.from_file(tokenizer_path())
+    own.encode(["Word WORD, word, wOrd", "Äpfel äpfel ÄPFEL"])
+    assert sorted(own.chunks) == ["", "word", "word,", "\u00c4pfel", "\u00e4pfel"]
+    # Composed in one case only, out of order, final sigmas, special tokens in another case.
+    traps = ["H\u0331A h\u0331a W\u030a", "I\u0307 \u0130 i\u0307A", "E\u0301 \u00c9 K\u212a", "\u039f\u03a3 A\u03a3 A\u03a3.", "<|EndOfText|> A", "<|endoftext|>A <|ENDOFTEXT|>", "q\u0307\u0323Q", "A\x00B\u200dC 'S IT'S"]
+    assert own.encode(traps) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in traps]
+
+
+def test_full_caches(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_CHUNKS", 20)
+    own, whole = packing.WordTokens(tokenizer_path()), tokenizers.Tokenizer.from_file(tokenizer_path())
+    for i in range(5):
+        texts = [f"w{chr(97 + i)}{chr(97 + n)} same Word{n} {'x' * 60}{n}" for n in range(10)]
+        assert own.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(own.chunks) == 22
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
 
@@ -91,6 +109,10 @@ def test_round_trip(spark):
     check(spark, ODD + [None] + [" ".join(rng.choice("alpha beta! the of zyx".split()) for _ in range(rng.randint(0, 150))) for _ in range(200)], 64)
 
 
+def test_lots(spark):
+    check(spark, [None, *(f"{'alpha Beta, gamma ' * 4000}{i}" for i in range(60))], 64)  # more than packing._LOT in a task
+
+
 def test_odd(spark, odd_docs, no_docs):
     rows = packing.pack(odd_docs, tokenizer_path()).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import save
 
-_CACHE_CHUNKS, _CACHE_STEMS = 400_000, 300_000
+_CACHE_CHUNKS, _CACHE_STEMS = 320_000, 100_000
 _CACHED = 48  # longest entry kept, in characters
 _LOT = 1 << 20  # bytes of texts encoded at once, but for a longer one
 #: ASCII punctuation but the apostrophe, which starts contractions, and the brackets of special tokens.

@@ -17,7 +17,9 @@ from rowkeel.llm.common import scratch
 from rowkeel.llm.queries import quality_crf, table, tokenizer_path
 
 #: Bytes of texts that go to a Python worker at a time.
-BATCH = "4m"
+BATCH = "1m"
+#: Share of the packing caches that a worker keeps: it outlives its tasks, and so holds them through all later stages.
+ROOM = 1 / 8
 
 
 def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -64,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @in_small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path(), max_len=2048, end_id=0)
+    return packing.pack(docs, tokenizer_path(), max_len=2048, end_id=0, room=ROOM)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,19 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         clear()
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], kinds: str) -> DataFrame:
+    """A DataFrame of the driver's rows; kinds: its schema, as "a string, b long".
+
+    It goes by Arrow: from tuples, createDataFrame starts Python workers of another kind, which stay on the executors beside the operators' own.
+    """
+    names, types = zip(*(c.split() for c in kinds.split(", ")))
+    cols = list(zip(*rows)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[t]) for c, t in zip(cols, types)], names=list(names)), kinds)
+
+
 def word_count(text: Column) -> Column:
     """Words in a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

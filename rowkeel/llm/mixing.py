@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import save, unpacked, word_count
+from .common import few_rows, save, unpacked, word_count
 
 Source = str | None
 _END = object()  # None is a source
@@ -164,7 +164,7 @@ def _plan_many(patterns: DataFrame, quotas: Mapping[Source, int] | None, weights
     if quotas is None:
         sources = save(_fair_table(size_of, weights, max_repeats))
     else:
-        given = spark.createDataFrame([(s, float(q)) for s, q in quotas.items()], "source string, target double")
+        given = few_rows(spark, [(s, float(q)) for s, q in quotas.items()], "source string, target double")
         sources = save(size_of.join(given, size_of.source.eqNullSafe(given.source), "left").select(size_of.source, "size", F.coalesce("target", F.lit(0.0)).alias("target")))
     tied = save(own.where(F.size("members") > 1).select(F.explode("members").alias("tied")).distinct())
     sources = sources.join(tied, sources.source.eqNullSafe(tied.tied), "left").select("source", F.col("size").alias("source_size"), "target", F.col("tied").isNotNull().alias("known"))
@@ -186,7 +186,7 @@ def _plan_many(patterns: DataFrame, quotas: Mapping[Source, int] | None, weights
     passes, rest = [F.when(F.col("size") > 0, x).otherwise(F.lit(0)).cast("long") for x in parts]
     alone = met.where(~together).withColumn("words", words)
     alone = alone.select("pattern", "n", passes.alias("passes"), rest.alias("rest"), bits.cast("int").alias("bits"), F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
-    return save(alone.unionByName(spark.createDataFrame(solved, _PLAN)))
+    return save(alone.unionByName(few_rows(spark, solved, _PLAN)))
 
 
 def _meet(rows: DataFrame, plan: DataFrame, hot_rows: int | None) -> DataFrame:
@@ -216,7 +216,7 @@ def _decide(slim: DataFrame, quotas: Mapping[Source, int] | None, weights: tuple
             targets = fair_targets(size_of, cycling_weights(size_of, weights), max_repeats)
         else:
             targets = {s: float(q) for s, q in quotas.items()}
-        plan, hot_rows = spark.createDataFrame(_plan_few(rows, size_of, targets, max_repeats, per_bucket), _PLAN), None
+        plan, hot_rows = few_rows(spark, _plan_few(rows, size_of, targets, max_repeats, per_bucket), _PLAN), None
 
     bucket = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(h, 64 - bits)"))
     dealt = _meet(slim, plan, hot_rows).withColumn("bucket", bucket)

@@ -65,10 +65,11 @@ class WordTokens:
     its chunks' ids in a row. Texts are cut at spaces and line feeds only: all else stays with the tokenizer.
     A-Z are lower-cased before, as the tokenizer does later, wherever that can't touch what it does first.
     A chunk of letters with ASCII punctuation after it is two pre-tokens; its letters are looked up alone. New
-    letter runs are encoded many at a time and told apart by the tokens that end a word.
+    letter runs are encoded many at a time and told apart by the tokens that end a word. room is the share of the
+    caches' entries that are kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: float = 1.0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -78,6 +79,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.chunks, self.stems = {"": b""}, {"": b""}
+        self.most_chunks, self.most_stems = int(_CACHE_CHUNKS * room), int(_CACHE_STEMS * room)
         self.added = [a["content"].lower() for a in json.loads(self.tokenizer.to_str())["added_tokens"]]
 
     def _encode(self, words: list[str]) -> list[bytes]:
@@ -119,7 +121,7 @@ class WordTokens:
         out = dict(zip(whole, self._encode(whole)))
         for c, (s, m) in pairs.items():
             out[c] = (stems[s] if s in stems else new[s]) + (stems[m] if m in stems else new[m])
-        if len(stems) < _CACHE_STEMS:
+        if len(stems) < self.most_stems:
             stems.update((k, v) for k, v in new.items() if len(k) <= _CACHED)
         return out
 
@@ -129,7 +131,7 @@ class WordTokens:
         split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
         cache = self.chunks
         own = self._resolve(set().union(*split).difference(cache))
-        full = len(cache) >= _CACHE_CHUNKS
+        full = len(cache) >= self.most_chunks
         cache.update(own)
         out = [b"".join(map(cache.__getitem__, words)) for words in split]
         for k in own:
@@ -138,30 +140,30 @@ class WordTokens:
         return out
 
 
-_TOKENS: dict[str, WordTokens] = {}
+_TOKENS: dict[tuple[str, float], WordTokens] = {}
 
 
-def _tokens(path: str) -> WordTokens:
+def _tokens(path: str, room: float) -> WordTokens:
     """One for each Python worker, with its cache."""
-    if path not in _TOKENS:
-        _TOKENS[path] = WordTokens(path)
-    return _TOKENS[path]
+    if (path, room) not in _TOKENS:
+        _TOKENS[path, room] = WordTokens(path, room)
+    return _TOKENS[path, room]
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, max_len: int = 2048, end_id: int = 0, room: float = 1.0) -> DataFrame:
     """Pieces of each row of docs(doc_id, text): ids of the text, then end_id, cut at max_len.
 
     part and local number the pieces of equal length within a task. Null text is empty: one piece of one id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, seen = _tokens(tokenizer), TaskContext.get().partitionId(), [0] * (max_len + 1)
+        tokens, part, seen = _tokens(tokenizer, room), TaskContext.get().partitionId(), [0] * (max_len + 1)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
         for b in batches:
-            lot = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // _LOT
+            lot = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // int(_LOT * room)
             cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), b.num_rows] if b.num_rows else []
             for i, z in zip(cuts, cuts[1:]):
                 ids, texts = b.column(0).slice(i, z - i).to_pylist(), [t or "" for t in b.column(1).slice(i, z - i).to_pylist()]
@@ -239,14 +241,15 @@ def _lanes(bins: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...
     return {n: tuple(np.array(c, np.int64) for c in zip(*r)) for n, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, max_len: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, max_len: int = 2048, end_id: int = 0, room: float = 1.0) -> DataFrame:
     """doc_id, piece int, start, length, ids_crc32, sequence_id, offset long: where each piece of docs(doc_id, text) goes.
 
     Sequences hold max_len tokens at most, without gaps. Ids are the tokenizer's (its special strings in a text
     included, none added), then end_id. Null and empty texts are one token. Repeated rows, also of a null
-    doc_id, are packed each. An empty table gives no rows.
+    doc_id, are packed each. An empty table gives no rows. A room below 1 shrinks the worker's caches and the texts
+    encoded at once by that share, for less memory and more time; results are the same.
     """
-    pieces = save(cut_pieces(docs, tokenizer, max_len, end_id))
+    pieces = save(cut_pieces(docs, tokenizer, max_len, end_id, room))
     counts = save(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most
     lanes = docs.sparkSession.sparkContext.broadcast(_lanes(pack_lengths(totals, max_len)))  # max_len runs of 63 distinct lengths at most
